@@ -10,12 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from topiclog.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topiclog.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topiclog.llm.quality_rules import apply_rules, references
+
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, references(docs))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topiclog.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topiclog.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topiclog.llm.line_dedup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topiclog.llm.token_counts import count_tokens
 
@@ -23,7 +48,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
