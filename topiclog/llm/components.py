@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and read from there: its lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (spark.checkpoint.dir).
 
-    The folder is the session's spark.checkpoint.dir. Only a local master without one gets a
-    temporary folder; a cluster without one is an error, as its executors would not share it.
+    Only a local master without one gets a temporary folder; a cluster without one is an error, as its
+    executors would not share it.
     """
-    spark: SparkSession = frame.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared checkpoint folder and read from there: its lineage ends here."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 

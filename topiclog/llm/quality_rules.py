@@ -159,3 +159,11 @@ def apply_rules(
         c("best")["c"].alias("class_distance"),
         c("best")["w"].alias("word_distance"),
     )
+
+
+def keep_clean(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that apply_rules keeps under references from all of docs."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = apply_rules(docs.withColumn(f"{TMP}row", row), references(docs), keep=(f"{TMP}row",), **options)
+    # not a filter: that would be pushed below the projections, with the whole of their expressions copied into it
+    return judged.select(F.inline(F.when(F.col("kept"), F.array(f"{TMP}row"))))
