@@ -1,10 +1,512 @@
-"""Every query of the log engine by name, with DuckDB SQL for it."""
+"""Every query of the log engine by name, with DuckDB SQL for it.
+
+The log is made of the driver's events (sources.tables.produce_log); A stands for its accepted messages. Ids and
+times that the fixtures lack are simple arithmetic over offsets, the same in both languages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from topiclog.functions import scalars
+from topiclog.operators import ack, deliver, metrics, pacing, produce, replay, retention
+
+from topiclog.sources import stored_log, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+_L = """l AS (SELECT event_type AS topic, event_id AS arrival, CAST(user_id AS VARCHAR) AS producer_id,
+  CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS seq, CAST(user_id % 8 AS INTEGER) AS priority,
+  props AS payload, epoch_us(ts) // 1000 AS ts_ms, user_id FROM events)"""
+_A = (
+    _L
+    + """, firsts AS (SELECT topic, producer_id, seq, min(arrival) AS first_arrival FROM l GROUP BY ALL),
+a AS (SELECT l.*, CAST(row_number() OVER (PARTITION BY l.topic ORDER BY arrival) - 1 AS BIGINT) AS msg_offset
+  FROM l JOIN firsts f ON l.topic = f.topic AND l.producer_id = f.producer_id AND l.seq = f.seq AND l.arrival = f.first_arrival),
+ends AS (SELECT topic, max(msg_offset) + 1 AS next_offset, max(ts_ms) AS last_ts, (min(ts_ms) + max(ts_ms)) // 2 AS mid FROM a GROUP BY topic)"""
+)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return keep
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return produce.accepted(tables.produce_log(spark, sf_dir))
+
+
+def _ends(a: DataFrame) -> DataFrame:
+    """topic, next_offset, last_ts and mid, the middle of its times."""
+    return a.groupBy("topic").agg((F.max("msg_offset") + 1).alias("next_offset"), F.max("ts_ms").alias("last_ts"), F.floor((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("long").alias("mid"))
+
+
+def _poll_sql(most: int, polls: int, source: str = "a", key: str = "topic", extra: str = "") -> str:
+    back = min(most, most // 4 + ((polls + 1) % 4 == 0))
+    return f""", c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY priority DESC, msg_offset) AS rp FROM {source}),
+d AS (SELECT *, row_number() OVER (PARTITION BY {key}, rp > {most - back} ORDER BY msg_offset) AS ro FROM c),
+p AS (SELECT {key}, msg_offset, priority, CAST(row_number() OVER (PARTITION BY {key} ORDER BY priority DESC, msg_offset) - 1 AS INTEGER) AS ord{extra}
+  FROM d WHERE rp <= {most - back} OR ro <= {back})"""
+
+
+# --- produce
+
+
+@query(f"WITH {_A} SELECT l.arrival, l.topic, a.msg_offset, l.arrival <> a.arrival AS duplicate FROM l JOIN a USING (topic, producer_id, seq)")
+def produce_offsets(spark, sf_dir):
+    return produce.offsets(tables.produce_log(spark, sf_dir)).select("arrival", "topic", "msg_offset", "duplicate")
+
+
+@query(f"WITH {_A} SELECT topic, msg_offset, arrival, producer_id, seq, priority, ts_ms FROM a")
+def produce_accepted(spark, sf_dir):
+    return _accepted(spark, sf_dir).select("topic", "msg_offset", "arrival", "producer_id", "seq", "priority", "ts_ms")
+
+
+@query(f"WITH {_A} SELECT topic, count(*) AS attempts, count(DISTINCT (producer_id, seq)) AS accepted, count(*) - count(DISTINCT (producer_id, seq)) AS duplicates FROM l GROUP BY topic")
+def dedup_hits_by_topic(spark, sf_dir):
+    return produce.attempts(tables.produce_log(spark, sf_dir))
+
+
+@query(f"WITH {_L} SELECT topic, arrival, CAST(row_number() OVER (PARTITION BY topic ORDER BY arrival) - 1 AS BIGINT) AS msg_offset FROM l")
+def dedup_disabled(spark, sf_dir):
+    log = tables.produce_log(spark, sf_dir).withColumn("producer_id", F.lit(""))
+    return produce.accepted(log).select("topic", "arrival", "msg_offset")
+
+
+@query(
+    f"""WITH {_L}, n AS (SELECT *, (row_number() OVER (ORDER BY arrival) - 1) // 256 AS b FROM l)
+SELECT CAST(b AS BIGINT) AS batch_id, count(*) AS n, CAST(sum(strlen(payload)) AS BIGINT) AS bytes, min(arrival) AS first_arrival, max(arrival) AS last_arrival FROM n GROUP BY b"""
+)
+def produce_batch_count_cut(spark, sf_dir):
+    return produce.count_batches(tables.produce_log(spark, sf_dir))
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT lang AS topic, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, strlen(text) AS size FROM documents),
+f AS (SELECT topic, k, 0 AS batch_id, 1 AS n, size AS bytes FROM d WHERE k = 1
+  UNION ALL SELECT d.topic, d.k, CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN f.batch_id + 1 ELSE f.batch_id END,
+    CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN d.size ELSE f.bytes + d.size END
+  FROM f JOIN d ON d.topic = f.topic AND d.k = f.k + 1)
+SELECT topic, CAST(batch_id AS BIGINT) AS batch_id, CAST(max(n) AS BIGINT) AS n, CAST(max(bytes) AS BIGINT) AS bytes FROM f GROUP BY topic, batch_id"""
+)
+def produce_batch_byte_cut(spark, sf_dir):
+    return pacing.byte_batches(tables.document_log(spark, sf_dir), items=16, cap=16_384)
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, CASE WHEN strlen(text) > 8192 THEN 'payload_too_large' ELSE 'ok' END AS status FROM documents")
+def payload_too_large(spark, sf_dir):
+    log = tables.document_log(spark, sf_dir)
+    return log.select(F.col("arrival").alias("doc_id"), F.octet_length("payload").cast("long").alias("bytes"), F.coalesce(scalars.payload_error(F.col("payload"), 8192), F.lit("ok")).alias("status"))
+
+
+@query("SELECT CAST(least(user_id % 12, 7) AS INTEGER) AS priority, count(*) AS n FROM events GROUP BY 1")
+def priority_clamp_histogram(spark, sf_dir):
+    return tables.read(spark, sf_dir, "events").groupBy(scalars.clamp_priority(F.col("user_id") % 12).alias("priority")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(event_id % 6 AS INTEGER) AS code, CASE event_id % 6 WHEN 1 THEN 'Text' WHEN 2 THEN 'Json' WHEN 3 THEN 'MsgPack' ELSE 'Raw' END AS content_type, count(*) AS n FROM events GROUP BY ALL")
+def content_type_decode(spark, sf_dir):
+    code = (F.col("event_id") % 6).cast("int")
+    return tables.read(spark, sf_dir, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n")).select("code", scalars.content_type(F.col("code")).alias("content_type"), "n")
+
+
+@query("SELECT event_id, CAST(CASE WHEN user_id % 40 = 0 THEN 16 ELSE least(user_id % 40 * 50, 1024) END AS BIGINT) AS poll_max, CAST(greatest(1, least(user_id % 40 * 50, 1024)) AS BIGINT) AS prefetch, CAST(CASE WHEN event_id % 3 = 0 THEN 30000 ELSE event_id % 3 END AS BIGINT) AS visibility_ms, CAST(least(event_id * 100, 300000) AS BIGINT) AS wait_ms FROM events")
+def poll_normalise(spark, sf_dir):
+    wanted, of = F.col("user_id") % 40 * 50, F.col("event_id")
+    cols = {"poll_max": scalars.poll_max(wanted), "prefetch": scalars.prefetch(wanted), "visibility_ms": scalars.visibility(of % 3), "wait_ms": scalars.wait(of * 100)}
+    return tables.read(spark, sf_dir, "events").select("event_id", *(c.cast("long").alias(n) for n, c in cols.items()))
+
+
+# --- deliver
+
+
+@query(f"WITH {_A}{_poll_sql(16, 0)} SELECT * FROM p")
+def poll_select_16(spark, sf_dir):
+    return deliver.select_poll(_accepted(spark, sf_dir), 16).select("topic", "msg_offset", "priority", "ord")
+
+
+@query(f"WITH {_A}{_poll_sql(10, 3)} SELECT * FROM p")
+def poll_select_bonus(spark, sf_dir):
+    return deliver.select_poll(_accepted(spark, sf_dir), 10, polls_before=3).select("topic", "msg_offset", "priority", "ord")
+
+
+@query(f"WITH {_A}{_poll_sql(3, 0)} SELECT * FROM p")
+def poll_priority_only(spark, sf_dir):
+    return deliver.select_poll(_accepted(spark, sf_dir), 3).select("topic", "msg_offset", "priority", "ord")
+
+
+def _leases(spark, sf_dir):
+    """Topics polled one after the other in order of their names, 16 messages each, at 1 000 000 ms and on."""
+    a = _accepted(spark, sf_dir)
+    names = F.sort_array(F.collect_set("topic"))
+    turn = a.select("topic").distinct().agg(names.alias("t")).select(F.posexplode("t").alias("turn", "topic"))
+    polled = deliver.select_poll(a, 16).join(turn, "topic")
+    return deliver.lease(polled, (F.col("turn") * 2048 + F.col("ord")).cast("long"), (F.lit(1_000_000) + F.col("turn")).cast("long"), 30_000)
+
+
+_LEASES = f"""{_A}{_poll_sql(16, 0)}, turns AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS turn FROM (SELECT DISTINCT topic FROM a)),
+leases AS (SELECT topic, msg_offset, ord, CAST(row_number() OVER (ORDER BY turn, ord) - 1 AS BIGINT) AS lease_id, CAST(1030000 + turn AS BIGINT) AS deadline_ms FROM p JOIN turns USING (topic))"""
+
+
+@query(f"WITH {_LEASES} SELECT * FROM leases")
+def poll_leases(spark, sf_dir):
+    return _leases(spark, sf_dir).select("topic", "msg_offset", "ord", "lease_id", "deadline_ms")
+
+
+@query(f"WITH {_A}, g AS (SELECT * FROM a CROSS JOIN (VALUES ('g0', 0), ('g1', 10), ('g2', 25)) AS v(grp, mark) WHERE msg_offset >= mark){_poll_sql(8, 0, 'g', 'topic, grp')} SELECT * FROM p")
+def poll_group_fanout(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    marks = F.array(*(F.struct(F.lit(g).alias("grp"), F.lit(m).alias("mark")) for g, m in (("g0", 0), ("g1", 10), ("g2", 25))))
+    groups = a.select("topic").distinct().select("topic", F.inline(marks))
+    seen = deliver.fan_out(a, groups).where("msg_offset >= mark")
+    return deliver.select_poll(seen, 8, key=["topic", "grp"]).select("topic", "grp", "msg_offset", "priority", "ord")
+
+
+@query(f"WITH {_A} SELECT topic, msg_offset, msg_offset // 16 AS poll_no, CAST(msg_offset % 16 AS INTEGER) AS ord FROM a")
+def fifo_poll_batches(spark, sf_dir):
+    return deliver.fifo_polls(_accepted(spark, sf_dir), 16).select("topic", "msg_offset", "poll_no", "ord")
+
+
+@query(f"WITH {_A} SELECT topic, CAST(msg_offset // 16 % 3 AS INTEGER) AS consumer, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a GROUP BY ALL")
+def competing_consumers(spark, sf_dir):
+    polls = deliver.fifo_polls(_accepted(spark, sf_dir), 16)
+    return polls.groupBy("topic", (F.col("poll_no") % 3).cast("int").alias("consumer")).agg(F.count("*").alias("n"), F.min("msg_offset").alias("first_offset"), F.max("msg_offset").alias("last_offset"))
+
+
+@query(
+    f"""WITH {_A} SELECT topic, CASE WHEN msg_offset % 9 = 0 THEN 'acked' WHEN msg_offset % 3 <> 0 THEN 'ready' WHEN ts_ms + 30000 <= mid THEN 'expired' ELSE 'in_flight' END AS status, count(*) AS n
+FROM a JOIN ends USING (topic) GROUP BY ALL"""
+)
+def visible_at(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    held = a.join(_ends(a), "topic").withColumn("acked", F.col("msg_offset") % 9 == 0).withColumn("deadline_ms", F.when(F.col("msg_offset") % 3 == 0, scalars.deadline(F.col("ts_ms"), F.lit(30_000).cast("long"))))
+    return deliver.lease_status(held, F.col("mid")).groupBy("topic", "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_A} SELECT topic, grp, CASE grp WHEN 'acked' THEN false WHEN 'caught_up' THEN false WHEN 'leased' THEN false ELSE true END AS deliverable
+FROM ends CROSS JOIN (VALUES ('acked'), ('caught_up'), ('leased'), ('expired'), ('unknown'), ('partly')) AS v(grp)"""
+)
+def has_deliverable(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    kinds = ["acked", "caught_up", "leased", "expired", "unknown", "partly"]
+    groups = _ends(a).select("topic", "next_offset", F.explode(F.lit(kinds)).alias("grp"))
+    mark = F.when(F.col("grp") == "caught_up", F.col("next_offset")).when(F.col("grp") != "unknown", F.lit(0).cast("long"))
+    groups = groups.select("topic", "grp", mark.alias("ack_watermark"))
+    of = F.col("grp")
+    states = a.select("topic", "msg_offset", "ts_ms", F.explode(F.lit(kinds)).alias("grp")).select(
+        "topic", "grp", "msg_offset", ((of == "acked") | ((of == "partly") & (F.col("msg_offset") % 2 == 0))).alias("acked"), F.when(of == "leased", F.lit(10**15)).when(of == "expired", F.lit(5)).alias("deadline_ms")
+    )
+    return deliver.has_deliverable(a, groups, states, F.lit(5))
+
+
+@query(f"WITH {_A}, d AS (SELECT topic, unnest(range(msg_offset % 7)) AS delivery_no FROM a) SELECT topic, delivery_no % 3 = 0 AS pushed, count(*) AS n FROM d GROUP BY ALL")
+def push_cadence(spark, sf_dir):
+    times = F.col("msg_offset") % 7
+    each = _accepted(spark, sf_dir).select("topic", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))).alias("delivery_no"))
+    return deliver.pushes(each).groupBy("topic", "pushed").agg(F.count("*").alias("n"))
+
+
+# --- ack
+
+
+_ACKED = "msg_offset % (100 + length(topic)) <> 99"
+
+
+@query(f"WITH {_A} SELECT topic, coalesce(min(CASE WHEN NOT ({_ACKED}) THEN msg_offset END), max(msg_offset) + 1) AS ack_watermark FROM a GROUP BY topic")
+def ack_watermark(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    return ack.watermark(a, a.where(_ACKED))
+
+
+@query(
+    f"""WITH {_A}, k AS (SELECT topic, msg_offset FROM a WHERE msg_offset % 7 <> 3 AND msg_offset > 3),
+r AS (SELECT topic, msg_offset, msg_offset - row_number() OVER (PARTITION BY topic ORDER BY msg_offset) AS run FROM k)
+SELECT topic, min(msg_offset) AS island_start, max(msg_offset) AS island_end, count(*) AS n FROM r GROUP BY topic, run"""
+)
+def acked_above_gaps(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    acked = a.where("msg_offset % 7 <> 3")
+    return ack.islands(acked, ack.watermark(a, acked))
+
+
+@query(
+    f"""WITH {_LEASES}, acks AS (SELECT arrival AS cmd_seq, topic, 'g' AS grp, arrival % 100 AS lease_id, CASE WHEN arrival % 4 = 0 THEN 'nack' ELSE 'ack' END AS kind FROM l WHERE arrival < 2000),
+r AS (SELECT acks.*, leases.msg_offset, row_number() OVER (PARTITION BY acks.topic, acks.lease_id ORDER BY cmd_seq) AS k FROM acks LEFT JOIN leases ON acks.topic = leases.topic AND acks.lease_id = leases.lease_id)
+SELECT cmd_seq, topic, lease_id, CASE WHEN msg_offset IS NOT NULL AND k = 1 THEN msg_offset END AS msg_offset, CASE WHEN msg_offset IS NOT NULL AND k = 1 THEN kind ELSE 'miss' END AS outcome FROM r"""
+)
+def ack_join(spark, sf_dir):
+    acks = tables.produce_log(spark, sf_dir).where("arrival < 2000").selectExpr("arrival cmd_seq", "topic", "'g' grp", "arrival % 100 lease_id", "case when arrival % 4 = 0 then 'nack' else 'ack' end kind")
+    return ack.settle(acks, _leases(spark, sf_dir).withColumn("grp", F.lit("g"))).select("cmd_seq", "topic", "lease_id", "msg_offset", "outcome")
+
+
+@query(f"WITH {_A}, g AS (SELECT * FROM a WHERE msg_offset >= 40 OR msg_offset % 5 = 0){_poll_sql(16, 1, 'g')} SELECT * FROM p")
+def nack_redeliver(spark, sf_dir):
+    """The first 40 messages are leased; each fifth is nacked, the next one acked, the others stay out."""
+    a = _accepted(spark, sf_dir).withColumn("grp", F.lit("g"))
+    out = a.where("msg_offset < 40")
+    groups = a.select("topic", F.lit(0).alias("ack_watermark")).distinct().withColumn("grp", F.lit("g"))
+    open_rows = deliver.candidates(a.drop("grp"), groups, out.where("msg_offset % 5 = 1"), out.where("msg_offset % 5 > 1"))
+    return deliver.select_poll(open_rows, 16, polls_before=1).select("topic", "msg_offset", "priority", "ord")
+
+
+@query(
+    f"""WITH {_A}, w AS (SELECT topic, coalesce(min(CASE WHEN NOT ({_ACKED}) THEN msg_offset END), max(msg_offset) + 1) AS mark, max(msg_offset) + 1 AS next_offset FROM a GROUP BY topic)
+SELECT topic, grp, CASE grp WHEN 'back' THEN greatest(mark, 10) WHEN 'beyond' THEN next_offset + 100 ELSE mark END AS ack_watermark FROM w CROSS JOIN (VALUES ('back'), ('beyond'), ('none')) AS v(grp)"""
+)
+def commit_offset(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    marks = ack.watermark(a, a.where(_ACKED)).select("topic", "ack_watermark", F.explode(F.lit(["back", "beyond", "none"])).alias("grp"))
+    commits = _ends(a).select("topic", F.inline(F.array(F.struct(F.lit("back").alias("grp"), F.lit(10).cast("long").alias("commit_offset")), F.struct(F.lit("beyond").alias("grp"), (F.col("next_offset") + 100).alias("commit_offset")))))
+    return ack.commit(marks, commits).select("topic", "grp", "ack_watermark")
+
+
+@query(
+    f"""WITH {_L}, k AS (SELECT topic, 'g' || (arrival % 3) AS grp, CASE WHEN arrival % 5 = 0 THEN 'nack' ELSE 'ack' END AS kind, arrival * 7 % 1000 AS lease_id, (row_number() OVER (ORDER BY arrival) - 1) // 1024 AS b FROM l)
+SELECT CAST(b AS BIGINT) AS batch_id, topic, grp, kind, count(*) AS n, min(lease_id) AS first_lease, max(lease_id) AS last_lease FROM k GROUP BY ALL"""
+)
+def ack_coalesce(spark, sf_dir):
+    acks = tables.produce_log(spark, sf_dir).selectExpr("arrival cmd_seq", "topic", "concat('g', arrival % 3) grp", "case when arrival % 5 = 0 then 'nack' else 'ack' end kind", "arrival * 7 % 1000 lease_id")
+    return ack.coalesce_acks(acks)
+
+
+@query(f"WITH {_A} SELECT topic, any_value(next_offset // 3) AS slowest, count(*) AS retained FROM a JOIN ends USING (topic) WHERE msg_offset >= next_offset // 3 GROUP BY topic")
+def reclaim_boundary(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    half = lambda k: F.floor(F.col("next_offset") / k).cast("long")
+    marks = _ends(a).select("topic", F.explode(F.array(half(2), half(3))).alias("ack_watermark"))
+    left = ack.reclaim(a, marks).groupBy("topic").agg(F.count("*").alias("retained"))
+    return left.join(marks.groupBy("topic").agg(F.min("ack_watermark").alias("slowest")), "topic").select("topic", "slowest", "retained")
+
+
+@query(
+    f"""WITH {_A}, g AS (SELECT DISTINCT topic, user_id FROM l), n AS (SELECT topic, count(*) AS n FROM g GROUP BY topic)
+SELECT topic, CAST(user_id AS VARCHAR) AS grp FROM g JOIN n USING (topic) WHERE n <= 100 OR topic = 'click' OR user_id % 3 <> 0 OR user_id % 2 <> 0"""
+)
+def idle_group_gc(spark, sf_dir):
+    """Groups named after users; every third is caught up, every second holds a lease; the topic "click" has messages."""
+    a = _accepted(spark, sf_dir)
+    ends = _ends(a).select("topic", "next_offset", F.when(F.col("topic") == "click", 1).otherwise(0).alias("n_messages"))
+    log = tables.produce_log(spark, sf_dir).select("topic", F.col("producer_id").alias("grp"), F.col("producer_id").cast("long").alias("u")).distinct().join(ends, "topic")
+    groups = log.select("topic", "grp", (F.col("next_offset") - F.when(F.col("u") % 3 == 0, 0).otherwise(1)).alias("ack_watermark"), (F.col("u") % 2).alias("in_flight"), F.lit(0).alias("acked_above"))
+    return ack.collect_idle_groups(groups, ends, threshold=100).select("topic", "grp")
+
+
+# --- retention and pacing
+
+
+@query(f"WITH {_A} SELECT topic, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a JOIN ends USING (topic) WHERE msg_offset > next_offset - 1 - 500 GROUP BY topic")
+def retention_count(spark, sf_dir):
+    left = retention.retained(_accepted(spark, sf_dir), most=500)
+    return left.groupBy("topic").agg(F.count("*").alias("n"), F.min("msg_offset").alias("first_offset"), F.max("msg_offset").alias("last_offset"))
+
+
+@query(f"WITH {_A} SELECT topic, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a JOIN ends USING (topic) WHERE greatest(last_ts - ts_ms, 0) <= 604800000 GROUP BY topic")
+def retention_age(spark, sf_dir):
+    left = retention.retained(_accepted(spark, sf_dir), age_ms=604_800_000)
+    return left.groupBy("topic").agg(F.count("*").alias("n"), F.min("msg_offset").alias("first_offset"), F.max("msg_offset").alias("last_offset"))
+
+
+@query(
+    f"""WITH {_A}, c AS (SELECT topic, CAST(CASE length(topic) % 3 WHEN 0 THEN 0 ELSE 50 END AS BIGINT) AS m, CAST(CASE length(topic) % 3 WHEN 1 THEN 1000 ELSE 0 END AS BIGINT) AS g FROM ends)
+SELECT topic, CASE WHEN m = 0 AND g = 0 THEN 1000000 ELSE m END AS max_messages, g AS max_age_ms FROM c"""
+)
+def retention_effective(spark, sf_dir):
+    kind = F.length("topic") % 3
+    topics = tables.produce_log(spark, sf_dir).select("topic").distinct()
+    kept = scalars.effective_retention(F.when(kind == 0, 0).otherwise(50), F.when(kind == 1, 1000).otherwise(0))
+    return topics.select("topic", kept.alias("r")).select("topic", F.col("r.messages").cast("long").alias("max_messages"), F.col("r.age").cast("long").alias("max_age_ms"))
+
+
+_BUCKET = f"""WITH RECURSIVE {_L}, q AS (SELECT topic, arrival, ts_ms, CAST(1 + user_id % 5 AS INTEGER) AS wanted, row_number() OVER (PARTITION BY topic ORDER BY arrival) AS k FROM l),
+f AS (SELECT topic, arrival, ts_ms, k, wanted, 20.0::DOUBLE AS had FROM q WHERE k = 1
+  UNION ALL SELECT q.topic, q.arrival, q.ts_ms, q.k, q.wanted,
+    least((f.had - least(floor(f.had), f.wanted)) + greatest(q.ts_ms - f.ts_ms, 0) / 1000.0::DOUBLE * (2 / 1000.0::DOUBLE), 20.0::DOUBLE)
+  FROM f JOIN q ON q.topic = f.topic AND q.k = f.k + 1),
+r AS (SELECT topic, arrival AS request, wanted, CAST(least(floor(had), wanted) AS INTEGER) AS granted, had FROM f)"""
+
+
+def _requests(spark, sf_dir):
+    return tables.produce_log(spark, sf_dir).select("topic", F.col("arrival").alias("request"), "ts_ms", (1 + F.col("producer_id").cast("long") % 5).cast("int").alias("wanted"))
+
+
+@query(f"{_BUCKET} SELECT topic, request, wanted, granted FROM r")
+def token_bucket_grants(spark, sf_dir):
+    return pacing.pace(_requests(spark, sf_dir), rate_milli=2, burst=20).select("topic", "request", "wanted", "granted")
+
+
+@query(f"{_BUCKET} SELECT topic, request, CAST(ceil((1.0::DOUBLE - had) / (2 / 1000.0::DOUBLE) * 1000.0::DOUBLE) AS BIGINT) AS retry_ms FROM r WHERE granted = 0")
+def token_bucket_retry(spark, sf_dir):
+    return pacing.pace(_requests(spark, sf_dir), rate_milli=2, burst=20).where("granted = 0").select("topic", "request", "retry_ms")
+
+
+# --- stored logs, metrics, configuration
+
+
+def _order_log(spark, sf_dir):
+    return tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("price"))
+
+
+@query("SELECT o_orderkey AS idx, o_totalprice AS price FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 2000")
+def log_range_scan(spark, sf_dir):
+    return stored_log.scan_range(_order_log(spark, sf_dir), 1000, 2000)
+
+
+@query("SELECT o_orderkey AS idx, CASE WHEN o_orderkey >= 900 AND o_orderkey < 1200 THEN -1.0 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey < 1200")
+def log_overlay_merge(spark, sf_dir):
+    log = _order_log(spark, sf_dir)
+    pending = stored_log.scan_range(log, 900, 1200).withColumn("price", F.lit(-1.0).cast("double"))
+    return stored_log.overlay(stored_log.scan_range(log, None, 1000), pending)
+
+
+@query("SELECT min(o_orderkey) AS first_idx, max(o_orderkey) AS last_idx FROM orders WHERE o_orderkey < 1200 AND o_orderkey > 77")
+def log_truncate_purge(spark, sf_dir):
+    return stored_log.bounds(stored_log.purge_up_to(stored_log.truncate_from(_order_log(spark, sf_dir), 1200), 77))
+
+
+@query("SELECT c_custkey AS id, c_name AS key FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_scan(spark, sf_dir):
+    return stored_log.scan_prefix(tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("key")), "Customer#00000001")
+
+
+@query("SELECT user_id AS key, max_by(event_type, event_id) AS value FROM events WHERE event_type IS NOT NULL GROUP BY user_id HAVING max_by(event_id % 4, event_id) <> 0")
+def kv_last_write(spark, sf_dir):
+    """The users' last event type; every fourth event is a delete."""
+    writes = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("value"), "event_id")
+    return stored_log.last_write_wins(writes, "key", "event_id").select("key", "value")
+
+
+@query(
+    """WITH s AS (SELECT n_name AS store, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey % 5 + 1 END AS f, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey % 5 + 10 END AS e, CASE WHEN n_nationkey % 3 = 0 THEN 3 END AS snap, n_nationkey AS committed FROM nation),
+d AS (SELECT *, coalesce(f > coalesce(snap, 0) + 1, false) AS drop_log FROM s),
+r AS (SELECT *, committed > CASE WHEN drop_log THEN coalesce(snap, 0) ELSE greatest(coalesce(e, 0), coalesce(snap, 0)) END AS drop_commit FROM d)
+SELECT store, drop_log, drop_commit, CASE WHEN NOT drop_commit THEN committed END AS committed FROM r"""
+)
+def recover_consistency(spark, sf_dir):
+    k = "n_nationkey"
+    state = tables.read(spark, sf_dir, "nation").selectExpr(
+        "n_name store", f"case when {k} % 4 <> 0 then {k} % 5 + 1 end first_idx", f"case when {k} % 4 <> 0 then {k} % 5 + 10 end last_idx", f"case when {k} % 3 = 0 then 3 end snapshot_idx", f"{k} committed"
+    )
+    return stored_log.recover(state)
+
+
+def _gauges(spark, sf_dir):
+    a = _accepted(spark, sf_dir)
+    return metrics.gauges(a, a.where("msg_offset >= 100"), a.where("msg_offset % 3 = 0"))
+
+
+_GAUGES = f"{_A}, g AS (SELECT count(DISTINCT topic) AS topics, count(*) FILTER (msg_offset >= 100) AS messages, count(*) FILTER (msg_offset % 3 = 0) AS in_flight FROM a)"
+
+
+@query(f"WITH {_GAUGES} SELECT * FROM g")
+def queue_metrics(spark, sf_dir):
+    return _gauges(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_GAUGES}, t AS (SELECT 0 AS k, 'topics' AS name, '{metrics.GAUGES["topics"]}' AS h, topics AS v FROM g UNION ALL SELECT 1, 'messages', '{metrics.GAUGES["messages"]}', messages FROM g UNION ALL SELECT 2, 'in_flight', '{metrics.GAUGES["in_flight"]}', in_flight FROM g)
+SELECT CAST(3 * k AS INTEGER) AS line_no, '# HELP topiclog_' || name || ' ' || h AS line FROM t UNION ALL SELECT CAST(3 * k + 1 AS INTEGER), '# TYPE topiclog_' || name || ' gauge' FROM t UNION ALL SELECT CAST(3 * k + 2 AS INTEGER), 'topiclog_' || name || '{{node="1"}} ' || v FROM t"""
+)
+def metrics_prometheus(spark, sf_dir):
+    return metrics.exposition(_gauges(spark, sf_dir), node=1)
+
+
+@query(
+    f"""WITH {_A}, g AS (SELECT topic, ts_ms - lag(ts_ms) OVER (PARTITION BY topic ORDER BY msg_offset) AS gap_ms FROM a),
+r AS (SELECT topic, gap_ms, row_number() OVER (PARTITION BY topic ORDER BY gap_ms) AS k, count(*) OVER (PARTITION BY topic) AS n FROM g WHERE gap_ms IS NOT NULL)
+SELECT topic, min(gap_ms) FILTER (k = CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT) + 1) AS p50, min(gap_ms) FILTER (k = CAST(floor((n - 1) * 0.99 + 0.5) AS BIGINT) + 1) AS p99,
+  min(gap_ms) FILTER (k = CAST(floor((n - 1) * 0.999 + 0.5) AS BIGINT) + 1) AS p999 FROM r GROUP BY topic"""
+)
+def latency_percentiles(spark, sf_dir):
+    return metrics.nearest_rank(retention.inter_arrival(_accepted(spark, sf_dir)), "topic", "gap_ms", {"p50": 0.5, "p99": 0.99, "p999": 0.999})
+
+
+@query(
+    f"""WITH {_L}, e AS (SELECT *, (CASE WHEN arrival > 300 * length(topic) THEN 1 ELSE 0 END) + (CASE WHEN arrival > 700 * length(topic) THEN 1 ELSE 0 END) AS epoch FROM l),
+f AS (SELECT topic, epoch, producer_id, seq, min(arrival) AS arrival FROM e GROUP BY ALL)
+SELECT topic, CAST(epoch AS INTEGER) AS epoch, arrival, CAST(row_number() OVER (PARTITION BY topic, epoch ORDER BY arrival) - 1 AS BIGINT) AS msg_offset FROM f"""
+)
+def topic_delete_epoch(spark, sf_dir):
+    log = tables.produce_log(spark, sf_dir)
+    deletes = log.select("topic").distinct().select("topic", F.explode(F.array((300 * F.length("topic")).cast("long"), (700 * F.length("topic")).cast("long"))).alias("deleted_at"))
+    cut = produce.delete_epochs(log, deletes)
+    named = cut.withColumn("name", F.col("topic")).withColumn("topic", F.concat_ws("#", "topic", "epoch"))
+    return produce.accepted(named).select(F.col("name").alias("topic"), "epoch", "arrival", "msg_offset")
+
+
+@query(
+    f"""WITH {_L}, c AS (SELECT topic, arrival AS at, arrival % 50 AS max_messages FROM l WHERE arrival % 97 = 0)
+SELECT l.arrival AS cmd_seq, l.topic, c.max_messages FROM l LEFT JOIN c ON c.topic = l.topic AND c.at = (SELECT max(c2.at) FROM c c2 WHERE c2.topic = l.topic AND c2.at < l.arrival)"""
+)
+def config_as_of(spark, sf_dir):
+    log = tables.produce_log(spark, sf_dir).select(F.col("arrival").alias("cmd_seq"), "topic")
+    configs = log.where("cmd_seq % 97 = 0").withColumn("max_messages", F.col("cmd_seq") % 50)
+    return retention.config_in_force(log, configs, ["max_messages"])
+
+
+# --- folds
+
+
+def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as all kinds of commands: mostly produces, with polls, acks, nacks, commits, retention and deletes between them."""
+    log = tables.produce_log(spark, sf_dir)
+    k = F.col("arrival")
+    op = F.when(k % 1009 == 1008, "delete_topic").when(k % 211 == 0, "set_retention").when(k % 307 == 5, "commit").when(k % 13 == 3, "nack").when(k % 7 == 2, "ack").when(k % 5 == 1, "poll").otherwise("produce")
+    group = F.concat(F.lit("g"), k % 2)
+    first = F.floor(k / 5) % 4000
+    return log.select(
+        k.alias("cmd_seq"),
+        op.alias("op"),
+        "ts_ms",
+        "topic",
+        F.when(op.isin("poll", "ack", "nack", "commit"), group).alias("grp"),
+        "priority",
+        "producer_id",
+        "seq",
+        (k % 12).alias("max"),
+        F.lit(3_600_000).cast("long").alias("visibility_timeout_ms"),
+        F.sequence(first, first + 6).alias("lease_ids"),
+        F.floor(k / 30).alias("commit_offset"),
+        (k % 400).alias("max_messages"),
+        F.lit(0).cast("long").alias("max_age_ms"),
+    )
+
+
+@query()
+def replay_delivery(spark, sf_dir):
+    return replay.replay(command_log(spark, sf_dir))
+
+
+@query()
+def replay_global_leases(spark, sf_dir):
+    return replay.with_global_leases(replay.replay(command_log(spark, sf_dir))).select("cmd_seq", "topic", "grp", "ord", "msg_offset", "global_lease_id")
+
+
+@query()
+def retention_nonmonotone(spark, sf_dir):
+    a = _accepted(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") - F.col("msg_offset") % 5 * 7_200_000)
+    return replay.purge_fold(a, most=500, age_ms=86_400_000)
+
+
+@query()
+def subscribe_trace(spark, sf_dir):
+    """Messages delivered again and again, some acked by an old lease, some nacked."""
+    a = _accepted(spark, sf_dir)
+    k = F.col("msg_offset")
+    kind = F.when(k % 11 == 10, "ack").when(k % 17 == 16, "nack").otherwise("deliver")
+    steps = a.select("topic", k.alias("step"), kind.alias("kind"), (F.floor(k / 8) % 20).alias("msg_offset"), F.when(kind == "deliver", k).otherwise(k - 6).alias("lease_id"), (F.col("ts_ms") + 60_000).alias("deadline_ms"), "ts_ms")
+    return replay.subscribe_trace(steps)
+
+
+__all__ = ["ORACLE", "QUERIES", "command_log"]
