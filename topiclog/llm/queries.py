@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from topiclog.llm import oracle
 from topiclog.llm.common import table
 
 
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the operators that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_decontamination": oracle.OP5, "op8_line_dedup": oracle.OP8}
