@@ -85,7 +85,7 @@ def repeated_words(found: Column, size: int = 3) -> Column:
         again = F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"]))
         return F.size(F.array_distinct(F.flatten(F.transform(F.array_compact(again), lambda i: F.array(*(i + k for k in range(size)))))))
 
-    return F.when(F.size(found) > size, let(F.array_sort(windows), covered)).otherwise(0)
+    return F.when(F.size(found) > size, let(F.sort_array(windows), covered)).otherwise(0)
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 64) -> dict[str, tuple[list[float], list[float]]]:
