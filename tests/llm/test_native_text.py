@@ -63,7 +63,7 @@ def test_quality_rules(spark, odd_docs, sample, which):
         counts = base_counts(text)
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
         a, b, n = histograms(text)
-        far = [max((distance([x / len(text) for x in a], q) / 0.22) if len(text) >= 200 else 0, (distance([x / n for x in b], w) / 0.80) if n >= 100 else 0) for q, w in refs.values()]
+        far = [max((distance([x / len(text) for x in a], q) / 0.27) if len(text) >= 200 else 0, (distance([x / n for x in b], w) / 0.80) if n >= 100 else 0) for q, w in refs.values()]
         want.append((str(doc), *counts, failed, not failed and min(far) <= 1))
     assert got == sorted(want)
 

@@ -31,3 +31,80 @@ n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, CASE WHEN n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
 """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(_text(v) for v in values) + "]"
+
+
+def quality_rules() -> str:
+    """The rules with their default limits: base counts, references over all documents, and both distances."""
+    from topiclog.llm.quality_rules import COMMON_WORDS
+
+    vocabulary = sorted({w for own in COMMON_WORDS.values() for w in own})
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+r AS (SELECT *, regexp_replace(t, '\p{{Ll}}+', '', 'g') AS r1 FROM d),
+r2 AS (SELECT *, regexp_replace(r1, '[\x20\x09-\x0D]+', '', 'g') AS r2 FROM r),
+r3 AS (SELECT *, regexp_replace(r2, '\p{{Lu}}+', '', 'g') AS r3 FROM r2),
+r4 AS (SELECT *, regexp_replace(r3, '\p{{N}}+', '', 'g') AS r4 FROM r3),
+r5 AS (SELECT *, regexp_replace(r4, '[.,;:!?''"()-]+', '', 'g') AS r5 FROM r4),
+r6 AS (SELECT *, regexp_replace(r5, '[\p{{L}}\p{{M}}]+', '', 'g') AS r6, regexp_extract_all(lower(t), '\p{{L}}+') AS known,
+  regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM r5),
+m AS (SELECT rid, doc_id, lang, length(t) AS n_chars, len(known) AS n_known, known, ws, ls,
+  [length(t) - length(r1), length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4) - length(r5), length(r5) - length(r6), length(r6)] AS classes,
+  length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols FROM r6),
+g AS (SELECT rid, i, [ws[i], ws[i + 1], ws[i + 2]] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM m)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM g) WHERE n > 1),
+rep AS (SELECT rid, count(*) AS n_repeat FROM (SELECT DISTINCT rid, i + unnest([0, 1, 2]) AS p FROM again) GROUP BY rid),
+vocabulary AS (SELECT unnest({_list(vocabulary)}) AS w),
+words AS (SELECT rid, w, count(*) AS c FROM (SELECT rid, unnest(known) AS w FROM m) JOIN vocabulary USING (w) GROUP BY ALL),
+histogram AS (
+  SELECT rid, lang, 'c' AS kind, CAST(k AS VARCHAR) AS k, classes[k + 1] AS c, n_chars AS n FROM m, range(7) AS x(k)
+  UNION ALL SELECT rid, lang, 'w', v.w, coalesce(words.c, 0), n_known FROM m CROSS JOIN vocabulary v LEFT JOIN words USING (rid, w)
+  UNION ALL SELECT rid, lang, 'w', '', n_known - coalesce((SELECT sum(c) FROM words WHERE words.rid = m.rid), 0), n_known FROM m),
+refs AS (SELECT lang, kind, k, sum(c) / CAST(sum(n) AS DOUBLE) AS q FROM histogram GROUP BY ALL),
+terms AS (SELECT h.rid, refs.lang, kind, c / CAST(n AS DOUBLE) AS p, q FROM histogram h JOIN refs USING (kind, k) WHERE n >= CASE kind WHEN 'c' THEN 200 ELSE 100 END),
+far AS (SELECT rid, lang, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d FROM terms GROUP BY ALL),
+each_lang AS (SELECT m.rid, l.lang, coalesce(max(d) FILTER (kind = 'c'), 0) AS dc, coalesce(max(d) FILTER (kind = 'w'), 0) AS dw
+  FROM m CROSS JOIN (SELECT DISTINCT lang FROM refs) l LEFT JOIN far ON far.rid = m.rid AND far.lang = l.lang GROUP BY ALL),
+best AS (SELECT rid, min(struct_pack(worst := greatest(dc / 0.27, dw / 0.8), c := dc, w := dw)) AS b FROM each_lang GROUP BY rid),
+f AS (SELECT m.*, coalesce(n_repeat, 0) AS n_repeat, b, len(ws) < 50 OR 100 * coalesce(n_repeat, 0) > 50 * len(ws) AS failed FROM m LEFT JOIN rep USING (rid) JOIN best USING (rid))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat AS n_repeat_words,
+  failed AS base_failed, NOT failed AND b.worst <= 1 AS kept, round(b.c, 6) AS class_distance, round(b.w, 6) AS word_distance FROM f
+"""
+
+
+def license_scan() -> str:
+    """The same pieces, identifiers and rules, over lists."""
+    from topiclog.llm.license_scan import PART_OF, RULES, TRIGGER, piece_table
+
+    known, patterns = piece_table()
+
+    def ids(cut: str) -> str:
+        clean = f"list_filter(list_transform(string_split({cut}, chr(1)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '')"
+        numbers = f"list_transform({clean}, lambda x: coalesce(CAST(list_position({_list(known)}, x) - 1 AS VARCHAR), '-'))"
+        out = f"regexp_replace(' ' || array_to_string({numbers}, '  ') || ' ', '(?: - )+', ' - ', 'g')"
+        for name, own in sorted(patterns, key=lambda p: (-len(p[1].split()), p[0])):
+            out = f"replace({out}, {_text(own)}, {_text(f'<{name}>')})"
+        return f"array_to_string(regexp_extract_all({out}, '<[^>]+>'), '')"
+
+    fits = lambda names: " OR ".join(f"regexp_matches({c}, {_text(''.join(f'<{n}>.*' for n in names))})" for c in ("over_ids", "line_ids"))
+    named: dict[str, list[str]] = {}
+    for licence, names in RULES:
+        named.setdefault(licence, []).append(fits(names))
+    columns = ", ".join(f"CASE WHEN {' OR '.join(tests)} THEN {_text(name)} END" for name, tests in sorted(named.items()))
+    drop = " OR ".join(f"(x = {_text(part)} AND list_contains(found, {_text(whole)}))" for part, whole in PART_OF.items())
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(lower(coalesce(text, '')), {_text(TRIGGER)}) AS hinted FROM documents),
+c AS (SELECT doc_id, hinted, regexp_replace(regexp_replace(t, '\n[ \t\r#*/;-]*\n', chr(1), 'g'), '([.!?;:])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g') AS cut FROM d),
+i AS (SELECT doc_id, CASE WHEN hinted THEN {ids("cut")} ELSE '' END AS over_ids, CASE WHEN hinted THEN {ids("replace(cut, chr(10), chr(1))")} ELSE '' END AS line_ids FROM c),
+n AS (SELECT *, list_filter([{columns}], lambda x: x IS NOT NULL) AS found FROM i),
+l AS (SELECT *, list_sort(list_filter(found, lambda x: NOT ({drop}))) AS licences FROM n)
+SELECT doc_id, replace(regexp_replace(CASE WHEN length(line_ids) > length(over_ids) THEN line_ids ELSE over_ids END, '^<|>$', '', 'g'), '><', ',') AS sentence_ids,
+  coalesce(array_to_string(licences, ','), '') AS licenses, CAST(len(licences) AS BIGINT) AS n_licenses FROM l
+"""

@@ -124,7 +124,7 @@ def apply_rules(
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     min_words: int = 50,
-    class_limit: float = 0.22,
+    class_limit: float = 0.27,
     word_limit: float = 0.80,
     min_chars: int = 200,
     min_known: int = 100,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topiclog.llm import oracle
 from topiclog.llm.common import table
@@ -33,7 +34,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topiclog.llm.quality_rules import apply_rules, references
 
     docs = table(spark, sf_dir, "documents")
-    return apply_rules(docs, references(docs))
+    rules = apply_rules(docs, references(docs))
+    return rules.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the operators that SQL can express.
-ORACLE: dict[str, str] = {"op5_decontamination": oracle.OP5, "op8_line_dedup": oracle.OP8}
+ORACLE: dict[str, str] = {
+    "op4_quality_rules": oracle.quality_rules(),
+    "op5_decontamination": oracle.OP5,
+    "op6_license_scan": oracle.license_scan(),
+    "op8_line_dedup": oracle.OP8,
+}
