@@ -151,3 +151,16 @@ def test_reclaim_keeps_topics_without_groups(spark):
     messages = spark.createDataFrame([(t, k) for t in "ab" for k in range(4)], "topic string, msg_offset long")
     marks = spark.createDataFrame([("a", "g", 2), ("a", "h", 9)], "topic string, grp string, ack_watermark long")
     assert sorted((r.topic, r.msg_offset) for r in ack.reclaim(messages, marks).collect()) == [("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2), ("b", 3)]
+
+
+def test_paced_replay(spark):
+    """Without a limit the events are those of plain replay but for empty polls; with one, grants follow the bucket and auto groups hold no lease."""
+    commands = catalogue.command_log(spark, SF)
+    strip = lambda rows: sorted(str(r) for r in rows if r.status not in ("empty",))
+    free = replay.replay_clients(commands).where("op = 'produce'").collect()
+    assert strip(free) == strip(replay.replay(commands).where("op = 'produce'").collect())
+    paced = replay.replay_clients(commands, 1, 3, ("g1",)).collect()
+    polled = [r for r in paced if r.op == "poll" and r.grp == "g1" and r.status == "delivered"]
+    acked = [r for r in paced if r.op == "ack" and r.grp == "g1" and r.status == "ack"]
+    assert polled and {(r.topic, r.lease_id) for r in polled} <= {(r.topic, r.lease_id) for r in acked}
+    assert any(r.status == "rate_limited" and r.deadline_ms > 0 for r in paced)

@@ -27,6 +27,12 @@ def exposition(values: DataFrame, node: int, prefix: str = "topiclog") -> DataFr
     return values.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
+def as_json(values: DataFrame, note: str = "") -> DataFrame:
+    """One row of gauges as a JSON object from each name to its value and a note."""
+    entries = [x for name in values.columns for x in (F.lit(name), F.struct(F.col(name).alias("value"), F.lit(note).alias("note")))]
+    return values.select(F.to_json(F.create_map(*entries)).alias("json"))
+
+
 def nearest_rank(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """For each key the values at rank round((n - 1) * p), by counts of distinct values: no group is sorted in one task before it is reduced."""
     from pyspark.sql import Window

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topiclog.operators.fold import fold
 from topiclog.operators.kernel import EVENT, Subscription, Topic
 from topiclog.operators.numbering import number
+from topiclog.operators.pacing import Bucket
 
 #: Most deliveries of a poll, so that a command's number and a delivery's place make one integer.
 PER_COMMAND = 2048
@@ -18,6 +19,39 @@ def replay(commands: DataFrame) -> DataFrame:
     return fold(commands, "topic", "cmd_seq", Topic, lambda topic, row: topic.apply(row), EVENT)
 
 
+def replay_clients(commands: DataFrame, rate_milli: int = 0, burst: int = 1, auto_groups: tuple[str, ...] = ()) -> DataFrame:
+    """Replay with what a leader does around the state machine: polls are paced, and groups that acknowledge by themselves do so at once.
+
+    A bucket for each topic grants places to its polls; what a poll does not use goes back, and a refused poll never
+    reaches the topic (status rate_limited; deadline_ms is then the wait for a token). Polls without a deliverable message take no tokens.
+    """
+
+    def start():
+        return Topic(), Bucket(rate_milli / 1000.0, burst)
+
+    def step(state, c):
+        topic, bucket = state
+        if c["op"] != "poll":
+            return topic.apply(c)
+        place = (c["cmd_seq"], c["topic"], "poll", c["grp"])
+        if not topic.exists or not topic.deliverable(c["grp"], c["ts_ms"]):
+            return [(*place, "empty", 0, None, None, None, None)]
+        granted = c["max"]
+        if rate_milli:
+            granted, retry = bucket.take(c["ts_ms"], c["max"])
+            if not granted:
+                return [(*place, "rate_limited", 0, None, None, None, retry)]
+        out = topic.apply({**c, "max": granted})
+        taken = [e for e in out if e[4] == "delivered"]
+        if rate_milli:
+            bucket.refund(granted - len(taken))
+        if taken and c["grp"] in auto_groups:
+            out += topic.apply({**c, "op": "ack", "lease_ids": [e[8] for e in taken]})
+        return out
+
+    return fold(commands, "topic", "cmd_seq", start, step, EVENT)
+
+
 def with_global_leases(events: DataFrame) -> DataFrame:
     """Deliveries with the lease ids that one counter over all topics gives: in order of commands, then of delivery."""
     delivered = events.where("status = 'delivered'").withColumn("__order", F.col("cmd_seq") * PER_COMMAND + F.col("ord"))

@@ -29,6 +29,12 @@ def config_in_force(produces: DataFrame, configs: DataFrame, values: list[str])
     return joined.select(*produces.columns, *(F.col(f"__c.{v}").alias(v) for v in values))
 
 
+def rate_limits(configs: DataFrame) -> DataFrame:
+    """The last rate limit of each topic (topic, cmd_seq, rate_milli_per_sec, burst): active above a rate of 0, with a burst of at least 1."""
+    last = configs.groupBy("topic").agg(F.max_by(F.struct("rate_milli_per_sec", "burst"), "cmd_seq").alias("c"))
+    return last.select("topic", "c.rate_milli_per_sec", F.greatest("c.burst", F.lit(1)).alias("burst"), (F.col("c.rate_milli_per_sec") > 0).alias("active"))
+
+
 def inter_arrival(messages: DataFrame) -> DataFrame:
     """topic, gap_ms between neighbouring messages."""
     before = F.lag("ts_ms").over(Window.partitionBy("topic").orderBy("msg_offset"))

@@ -375,6 +375,16 @@ def log_truncate_purge(spark, sf_dir):
     return stored_log.bounds(stored_log.purge_up_to(stored_log.truncate_from(_order_log(spark, sf_dir), 1200), 77))
 
 
+@query("SELECT CAST(77 AS BIGINT) AS purged_idx, CAST(77 AS BIGINT) AS last_idx")
+def log_state_when_empty(spark, sf_dir):
+    return stored_log.log_state(stored_log.truncate_from(stored_log.purge_up_to(_order_log(spark, sf_dir), 77), 0), 77)
+
+
+@query("SELECT o_orderkey AS idx, o_totalprice AS price FROM orders WHERE o_orderkey = 1234")
+def kv_get(spark, sf_dir):
+    return stored_log.get(_order_log(spark, sf_dir), 1234, "idx")
+
+
 @query("SELECT c_custkey AS id, c_name AS key FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
 def prefix_scan(spark, sf_dir):
     return stored_log.scan_prefix(tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("key")), "Customer#00000001")
@@ -422,6 +432,20 @@ def metrics_prometheus(spark, sf_dir):
     return metrics.exposition(_gauges(spark, sf_dir), node=1)
 
 
+@query(f"""WITH {_GAUGES} SELECT '{{"topics":{{"value":' || topics || ',"note":"n"}},"messages":{{"value":' || messages || ',"note":"n"}},"in_flight":{{"value":' || in_flight || ',"note":"n"}}}}' AS json FROM g""")
+def metrics_json(spark, sf_dir):
+    return metrics.as_json(_gauges(spark, sf_dir), "n")
+
+
+@query(
+    f"""WITH {_L}, c AS (SELECT topic, max_by(arrival % 3 * 500, arrival) AS rate, max_by(arrival % 4, arrival) AS burst FROM l WHERE arrival % 89 = 0 GROUP BY topic)
+SELECT topic, rate AS rate_milli_per_sec, greatest(burst, 1) AS burst, rate > 0 AS active FROM c"""
+)
+def rate_limit_in_force(spark, sf_dir):
+    log = tables.produce_log(spark, sf_dir).where("arrival % 89 = 0")
+    return retention.rate_limits(log.selectExpr("topic", "arrival cmd_seq", "arrival % 3 * 500 rate_milli_per_sec", "arrival % 4 burst"))
+
+
 @query(
     f"""WITH {_A}, g AS (SELECT topic, ts_ms - lag(ts_ms) OVER (PARTITION BY topic ORDER BY msg_offset) AS gap_ms FROM a),
 r AS (SELECT topic, gap_ms, row_number() OVER (PARTITION BY topic ORDER BY gap_ms) AS k, count(*) OVER (PARTITION BY topic) AS n FROM g WHERE gap_ms IS NOT NULL)
@@ -493,6 +517,12 @@ def replay_global_leases(spark, sf_dir):
     return replay.with_global_leases(replay.replay(command_log(spark, sf_dir))).select("cmd_seq", "topic", "grp", "ord", "msg_offset", "global_lease_id")
 
 
+@query()
+def replay_paced(spark, sf_dir):
+    """Polls under a rate limit; the group g1 acknowledges by itself."""
+    return replay.replay_clients(command_log(spark, sf_dir), rate_milli=2, burst=20, auto_groups=("g1",))
+
+
 @query()
 def retention_nonmonotone(spark, sf_dir):
     a = _accepted(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") - F.col("msg_offset") % 5 * 7_200_000)

@@ -28,6 +28,17 @@ def bounds(log: DataFrame) -> DataFrame:
     return log.agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
+def log_state(log: DataFrame, purged: int | None) -> DataFrame:
+    """purged_idx, and last_idx, which is the purge mark's while the log is empty."""
+    mark = F.lit(purged).cast("long")
+    return log.agg(F.coalesce(F.max("idx"), mark).alias("last_idx")).select(mark.alias("purged_idx"), "last_idx")
+
+
+def get(rows: DataFrame, wanted, key: str = "key") -> DataFrame:
+    """The row of one key, if there is one."""
+    return rows.where(F.col(key) == wanted)
+
+
 def overlay(stored: DataFrame, pending: DataFrame) -> DataFrame:
     """Every idx once: the pending row where there is one, else the stored one. Both have idx once at most."""
     return pending.unionByName(stored.join(pending.select("idx"), "idx", "left_anti"))
