@@ -159,7 +159,7 @@ def test_paced_replay(spark):
     strip = lambda rows: sorted(str(r) for r in rows if r.status not in ("empty",))
     free = replay.replay_clients(commands).where("op = 'produce'").collect()
     assert strip(free) == strip(replay.replay(commands).where("op = 'produce'").collect())
-    paced = replay.replay_clients(commands, 1, 3, ("g1",)).collect()
+    paced = replay.replay_clients(commands.withColumn("ts_ms", F.col("cmd_seq") * 1000), 20, 5, ("g1",)).collect()
     polled = [r for r in paced if r.op == "poll" and r.grp == "g1" and r.status == "delivered"]
     acked = [r for r in paced if r.op == "ack" and r.grp == "g1" and r.status == "ack"]
     assert polled and {(r.topic, r.lease_id) for r in polled} <= {(r.topic, r.lease_id) for r in acked}
