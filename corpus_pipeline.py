@@ -75,4 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:  # nothing reads the stage before any more
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
