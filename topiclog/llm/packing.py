@@ -1,10 +1,10 @@
 """Hierarchical packing of tokenised documents into sequences of several context sizes.
 
 Every document is cut into whole windows of the longest context and a tail. Tails are routed to
-tiers by the context size that just holds them. Then each longest window starts from the longest
-tail left, its gap is filled with the largest tails that fit from the same or shorter tiers, and what no
-tail fits is filled by cutting one. When fewer tokens are left than a window holds, they go to windows
-of shorter contexts: powers of two, so none of them is padded. A packer holds the tails of a bounded
+tiers: the context sizes are the longest one, its half and its quarter, and a tail's tier is the smallest that holds it.
+Tiers are packed from the longest down. A tier's window starts from its longest tail, the gap is filled with the largest
+tails that fit, from the same or shorter tiers, and what no tail fits is filled by cutting one. When fewer
+tokens are left than a window holds, they go to windows of still smaller powers of two, so no window is padded. A packer holds the tails of a bounded
 number of tokens and hands the rest on, so memory does not follow the partition's size.
 Sequences of one context size are dealt into step groups of equal count, in an order that balances
 the attention cost (the sum of squared piece lengths) between groups.
@@ -104,6 +104,7 @@ class Packer:
 
     def __init__(self, context: int, first_sequence: int, group: int, held: int):
         self.context, self.next, self.group, self.held = context, first_sequence, group, held
+        self.tiers = sorted({max(1, context // 4), max(1, context // 2), context})
         self.tails: dict[int, list] = defaultdict(list)  # by length; all lengths of a tier lie together
         self.tokens = 0
         self.lengths = [0] * (context + 1)  # how many tails of each length wait
@@ -139,13 +140,12 @@ class Packer:
         return self.tails[n].pop()
 
     def pack(self, leave: int) -> None:
-        """Fills longest windows while more than `leave` tokens wait."""
-        top = self.context
+        """Fills windows, each of the tier of the longest tail, while more than `leave` tokens wait."""
         while self.tokens > max(leave, self.context - 1):
-            top = self.longest(top)
-            pieces, room = [], self.context
+            top = self.longest(self.context)
+            pieces, room = [], next(c for c in self.tiers if c >= top)
             while room:
-                if n := self.longest(min(room, top) if not pieces else room):
+                if n := self.longest(room):
                     pieces.append(self.take(n))
                     room -= n
                     continue
@@ -155,7 +155,6 @@ class Packer:
                 self.hold((doc, start + room, ids[4 * room :], total))
                 room = 0
             self.emit(pieces)
-            top = self.context
 
     def finish(self) -> None:
         self.pack(0)
