@@ -18,9 +18,9 @@ from topiclog.llm.common import table
 from topiclog.llm.components import shared_folder
 from topiclog.llm.decontaminate import remove_contaminated
 from topiclog.llm.line_dedup import dedup_lines
+from topiclog.llm.near_copies import near_copies
 from topiclog.llm.packing import pack
 from topiclog.llm.quality_rules import keep_clean
-from topiclog.llm.simhash import near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id.
+    """One document of each group of near duplicates (similarity of five-word shingles 0.8 or more): that of the smallest doc_id.
 
     Documents without an id are all kept, as nothing can name them. Of rows with one id, the first by a hash of its text stays.
     """
-    groups = near_duplicates(docs)
+    groups = near_copies(docs)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__tl_id")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("__tl_id"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
