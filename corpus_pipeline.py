@@ -24,8 +24,11 @@ from topiclog.llm.quality_rules import keep_clean
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, with references taken from all documents of the stage."""
-    return keep_clean(docs)
+    """The documents that the quality rules keep, with references taken from all documents of the stage.
+
+    Menu text with a symbol in every few words looks like prose to both histograms, so the stage limits symbols a word too.
+    """
+    return keep_clean(docs, symbol_limit=0.1)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

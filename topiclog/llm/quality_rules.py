@@ -128,12 +128,13 @@ def apply_rules(
     word_limit: float = 0.80,
     min_chars: int = 200,
     min_known: int = 100,
+    symbol_limit: float | None = None,
 ) -> DataFrame:
     """The columns to keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     base_failed: fewer than min_words words, or over half of the words in repeated windows. kept: not base_failed,
     and for at least one reference both distances are within their limits; a distance counts only from min_chars
-    characters or min_known letter words on. Without references every document that passes the base
+    characters or min_known letter words on. A symbol_limit is the most symbols a word that a kept document has. Without references every document that passes the base
     rules is kept. Null and empty texts have no words and fail; other columns than those to keep are ignored;
     every row is judged alone, so ids may be null or repeat. One pass, no shuffle, built-in functions only.
     """
@@ -145,6 +146,7 @@ def apply_rules(
     classes = F.when(c("n_chars") >= min_chars, shares(c("classes"), c("n_chars")))
     known = F.when(n >= min_known, shares(F.concat(c("counts"), F.array(n - F.aggregate(c("counts"), F.lit(0), lambda a, x: a + x))), n))
     m = m.withColumns({f"{TMP}p": classes, f"{TMP}q": known})
+    plain = F.lit(True) if symbol_limit is None else c("n_symbols") <= symbol_limit * c("n_words")
     failed = (c("n_words") < min_words) | (100 * c("n_repeat_words") > 50 * c("n_words"))
     far = F.array(*(F.struct(F.coalesce(_distance(c("p"), a), F.lit(0.0)).alias("c"), F.coalesce(_distance(c("q"), b), F.lit(0.0)).alias("w")) for a, b in refs.values()))
     worst = F.transform(far, lambda x: F.struct(F.greatest(x["c"] / class_limit, x["w"] / word_limit).alias("worst"), x["c"].alias("c"), x["w"].alias("w")))
@@ -155,7 +157,7 @@ def apply_rules(
         *keep,
         *(c(x).alias(x) for x in out),
         failed.alias("base_failed"),
-        (~failed & F.coalesce(c("best")["worst"] <= 1, F.lit(True))).alias("kept"),
+        (~failed & plain & F.coalesce(c("best")["worst"] <= 1, F.lit(True))).alias("kept"),
         c("best")["c"].alias("class_distance"),
         c("best")["w"].alias("word_distance"),
     )
