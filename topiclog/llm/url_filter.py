@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topiclog.llm.common import TMP, lower_ascii
+from topiclog.llm.components import cut
 
 #: Explicit rules: verdict, and host with path. A host stands for its subdomains too.
 RULES = [
@@ -22,8 +23,8 @@ RULES = [
     ("block", "org/es/"),
 ]
 BLOCK = "label=block"
-#: Most association rules that are kept (the surest), and most tokens of one: the index that is broadcast has no more rows than their product.
-MOST_RULES, MOST_TOKENS = 5_000, 6
+#: Most bytes of the index of rules that are broadcast; beyond them the same join is a shuffle.
+BROADCAST = 64 << 20
 
 
 def host(url: Column) -> Column:
@@ -64,19 +65,19 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         return empty
     # an item in fewer baskets than the support asks for can be in no rule: it goes before FP-growth gets to see it
     rules = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    sure = rules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= MOST_TOKENS)).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
-    kept = sure.orderBy(F.desc("confidence"), F.size("antecedent"), F.concat_ws(" ", "antecedent")).limit(MOST_RULES)
+    sure = cut(rules.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence"))
     # a rule is pruned if leaving out one of its tokens keeps the confidence
-    less = kept.select("antecedent", "confidence", F.explode("antecedent").alias("out")).select("antecedent", "confidence", F.array_remove("antecedent", F.col("out")).alias("part"))
-    parts = kept.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
+    less = sure.select("antecedent", "confidence", F.explode("antecedent").alias("out")).select("antecedent", "confidence", F.array_remove("antecedent", F.col("out")).alias("part"))
+    parts = sure.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
     pruned = less.join(parts, "part").where("as_sure >= confidence").select("antecedent").distinct()
-    return kept.join(pruned, "antecedent", "left_anti")
+    return cut(sure.join(pruned, "antecedent", "left_anti"))
 
 
 def matched(pages: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     """The distinct keys of the rows of pages (key columns and a token) that fit at least one rule, by the inverted index."""
     index = rules.select(F.xxhash64("antecedent").alias("r"), F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
-    hits = pages.join(F.broadcast(index), "token")
+    size = index.agg(F.sum(F.octet_length("token") + 24)).first()[0] or 0
+    hits = pages.join(F.broadcast(index) if size <= BROADCAST else index, "token")
     return hits.groupBy(*key, "r", "need").agg(F.count_distinct("token").alias("n")).where("n = need").select(*key).distinct()
 
 
