@@ -108,3 +108,34 @@ l AS (SELECT *, list_sort(list_filter(found, lambda x: NOT ({drop}))) AS licence
 SELECT doc_id, replace(regexp_replace(CASE WHEN length(line_ids) > length(over_ids) THEN line_ids ELSE over_ids END, '^<|>$', '', 'g'), '><', ',') AS sentence_ids,
   coalesce(array_to_string(licences, ','), '') AS licenses, CAST(len(licences) AS BIGINT) AS n_licenses FROM l
 """
+
+
+def url_filter() -> str:
+    """Explicit rules, then every rule of up to seven tokens that is frequent and sure enough, by listing all sets of tokens of each blocked page.
+
+    Here each token is an item of its own; which rules fit a page comes to the same.
+    """
+    from topiclog.llm.url_filter import RULES
+
+    rules = ", ".join(f"({_text(verdict)}, {_text(rule)}, {_text(rule.partition('/')[0])}, {_text('/' + rule.partition('/')[2])})" for verdict, rule in RULES)
+    part = lambda column, mark: f"list_transform(list_filter(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+'), lambda x: regexp_matches(x, '[^\\p{{N}}]')), lambda x: '{mark}' || x)"
+    return rf"""
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS rid, page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {LETTERS}) AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+t AS (SELECT *, list_distinct(list_concat({part("host", "h:")}, {part("path", "p:")})) AS items, TRY_CAST(nullif(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1), '') AS BIGINT) AS number FROM p),
+marks AS (SELECT doc_id, max(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS block FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+b AS (SELECT rid, items, block FROM t JOIN marks ON t.number = marks.doc_id),
+least AS (SELECT greatest(20, CAST(ceil(0.002 * count(*)) AS BIGINT)) AS s FROM b),
+known AS (SELECT token FROM (SELECT block, unnest(items) AS token FROM b) GROUP BY token HAVING count(*) FILTER (block) >= (SELECT s FROM least)),
+own AS (SELECT rid, list(token ORDER BY token) AS items FROM (SELECT rid, unnest(items) AS token FROM b WHERE block) JOIN known USING (token) GROUP BY rid),
+sets AS (SELECT rid, items, 0 AS upto, CAST([] AS VARCHAR[]) AS s FROM own
+  UNION ALL SELECT rid, items, k.i, list_append(s, items[k.i]) FROM sets, LATERAL (SELECT unnest(range(upto + 1, len(items) + 1)) AS i) AS k WHERE len(s) < 7),
+often AS (SELECT s, count(*) AS n_block FROM sets WHERE len(s) > 0 GROUP BY s HAVING count(*) >= (SELECT s FROM least)),
+sure AS (SELECT s, n_block / CAST(count(*) AS DOUBLE) AS confidence FROM often JOIN b ON list_has_all(b.items, often.s) GROUP BY s, n_block HAVING n_block / CAST(count(*) AS DOUBLE) >= 0.6),
+bad AS (SELECT DISTINCT rid FROM t JOIN sure ON list_has_all(t.items, sure.s)),
+r AS (SELECT * FROM (VALUES {rules}) AS v(verdict, rule, name, rest)),
+best AS (SELECT rid, arg_max(struct_pack(rule, verdict), struct_pack(size := length(rule), rule := rule)) AS r
+  FROM t JOIN r ON (t.host = r.name OR ends_with(t.host, '.' || r.name)) AND starts_with(t.path, r.rest) GROUP BY rid)
+SELECT page_id, host, path, best.r.rule AS rule, coalesce(best.r.verdict, CASE WHEN bad.rid IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM t LEFT JOIN best USING (rid) LEFT JOIN bad USING (rid)
+"""

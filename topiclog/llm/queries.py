@@ -94,4 +94,5 @@ ORACLE: dict[str, str] = {
     "op5_decontamination": oracle.OP5,
     "op6_license_scan": oracle.license_scan(),
     "op8_line_dedup": oracle.OP8,
+    "op10_url_filter": oracle.url_filter(),
 }
