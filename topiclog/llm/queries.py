@@ -25,9 +25,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from topiclog.llm.secret_scan import scan
+    from topiclog.llm.secret_scan import scan, trained
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), trained(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
