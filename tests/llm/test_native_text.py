@@ -176,3 +176,45 @@ def test_line_dedup(spark, odd_rows, clashing, sample, which):
     report = line_dedup.dedup_report(docs).collect()
     assert sum(r.n_removed for r in report) > 0
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_repeated_words_three_ways(spark, odd_rows):
+    """Packed and wide sorting, and brute force, also where upper parts of different hashes are alike (few bits are left of them)."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from topiclog.llm.common import words
+
+    rnd = random.Random(2)
+    texts = [r[1] for r in odd_rows] + [" ".join(rnd.choices("abcd", k=rnd.randint(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select("text", words(F.col("text")).alias("ws"))
+    for place in (quality_rules.PLACE, 60, 3):
+        for r in docs.select("ws", quality_rules.repeated_words(F.col("ws"), place=place).alias("n")).collect():
+            threes = list(zip(r.ws, r.ws[1:], r.ws[2:]))
+            again = {i + k for i, t in enumerate(threes) if threes.count(t) > 1 for k in range(3)} if len(threes) < 500 else None
+            assert again is None or r.n == len(again), (place, r.ws[:20])
+
+
+def test_quality_rules_of_many_languages(spark):
+    """More languages than any table of them has room for: each has a reference, and judged() equals references() with apply_rules()."""
+    rows = [(k * 2 + j, ("abcdefghij"[k % 10] * (2 + k % 7) + " the ") * 60 + f"w{j} " * j, f"l{k}") for k in range(90) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.references(docs)
+    assert len(refs) == 90
+    same = lambda frame: sorted(str((r.doc_id, r.kept, round(r.class_distance, 9), round(r.word_distance, 9))) for r in frame.collect())
+    assert same(quality_rules.judged(docs)) == same(quality_rules.apply_rules(docs, refs))
+    assert quality_rules.judged(docs.limit(0)).count() == 0 and quality_rules.keep_clean(docs.limit(0)).count() == 0
+
+
+def test_each_histogram_alone_rejects(spark):
+    """Noise of symbols fails by its classes, with word distances switched off, and foreign words fail by their words, with class distances switched off."""
+    from conftest import prose
+
+    clean = [(k, prose(k, 400) + " the of and to a in is that for was " * 12, "en") for k in range(30)]
+    noise = [(100, " ".join(f"|{i}#| <w{i}>$ {i * 7}||" for i in range(200)), "en")]
+    foreign = [(101, " ".join(f"der die und in den von zu {'abcdefgh'[i % 8] * 3}{i % 13}" for i in range(150)), "en")]
+    docs = spark.createDataFrame(clean + noise + foreign, "doc_id long, text string, lang string")
+    kept = lambda **limits: {r.doc_id for r in quality_rules.judged(docs, **limits).collect() if r.kept}
+    assert kept(word_limit=9.0, class_limit=0.27) == {*range(30), 101}
+    assert kept(word_limit=0.5, class_limit=9.0) >= {*range(30)} and 101 not in kept(word_limit=0.5, class_limit=9.0)

@@ -31,10 +31,9 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from topiclog.llm.quality_rules import apply_rules, references
+    from topiclog.llm.quality_rules import judged
 
-    docs = table(spark, sf_dir, "documents")
-    rules = apply_rules(docs, references(docs))
+    rules = judged(table(spark, sf_dir, "documents"))
     return rules.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
