@@ -213,7 +213,7 @@ def test_each_histogram_alone_rejects(spark):
 
     clean = [(k, prose(k, 400) + " the of and to a in is that for was " * 12, "en") for k in range(30)]
     noise = [(100, " ".join(f"|{i}#| <w{i}>$ {i * 7}||" for i in range(200)), "en")]
-    foreign = [(101, " ".join(f"der die und in den von zu {'abcdefgh'[i % 8] * 3}{i % 13}" for i in range(150)), "en")]
+    foreign = [(101, " ".join(f"{'der die und in den von zu'.split()[i % 7]} {chr(97 + i % 26) * 3}{chr(97 + i // 26)}" for i in range(150)), "en")]
     docs = spark.createDataFrame(clean + noise + foreign, "doc_id long, text string, lang string")
     kept = lambda **limits: {r.doc_id for r in quality_rules.judged(docs, **limits).collect() if r.kept}
     assert kept(word_limit=9.0, class_limit=0.27) == {*range(30), 101}
