@@ -16,9 +16,13 @@ class Bucket:
     """Tokens of one topic; full when it is first used. Times come from the requests, never from a clock."""
 
     def __init__(self, rate: float, burst: int):
-        self.rate, self.burst = rate, float(max(burst, 1))
+        self.limit(rate, burst)
         self.tokens, self.last = self.burst, None
 
+    def limit(self, rate: float, burst: int) -> None:
+        """From now on this rate and burst; the tokens stay."""
+        self.rate, self.burst = rate, float(max(burst, 1))
+
     def take(self, now_ms: int, wanted: int) -> tuple[int, int | None]:
         """What is granted, and after a refusal the milliseconds until one token is there."""
         if self.last is not None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topiclog.functions import scalars
@@ -483,12 +483,17 @@ def config_as_of(spark, sf_dir):
 
 
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as all kinds of commands: mostly produces, with polls, acks, nacks, commits, retention and deletes between them."""
+    """The events as all kinds of commands: mostly produces, with polls, answers, commits, configurations and deletes between them.
+
+    An answer names seven leases next to those that its topic has most likely handed out some polls ago: polls are mostly full, so the sum of what they
+    asked for says how many there are.
+    """
     log = tables.produce_log(spark, sf_dir)
     k = F.col("arrival")
-    op = F.when(k % 1009 == 1008, "delete_topic").when(k % 211 == 0, "set_retention").when(k % 307 == 5, "commit").when(k % 13 == 3, "nack").when(k % 7 == 2, "ack").when(k % 5 == 1, "poll").otherwise("produce")
+    op = F.when(k % 1009 == 1008, "delete_topic").when(k % 211 == 0, "set_retention").when(k % 401 == 7, "set_rate_limit").when(k % 307 == 5, "commit").when(k % 13 == 3, "nack").when(k % 7 == 2, "ack").when(k % 5 == 1, "poll").otherwise("produce")
     group = F.concat(F.lit("g"), k % 2)
-    first = F.floor(k / 5) % 4000
+    asked = F.sum(F.when(op == "poll", k % 12).otherwise(0)).over(Window.partitionBy("topic").orderBy("arrival"))
+    first = F.greatest(F.lit(0), asked - 24)
     return log.select(
         k.alias("cmd_seq"),
         op.alias("op"),
@@ -499,11 +504,17 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "producer_id",
         "seq",
         (k % 12).alias("max"),
-        F.lit(3_600_000).cast("long").alias("visibility_timeout_ms"),
+        F.lit(36_000_000).cast("long").alias("visibility_timeout_ms"),
         F.sequence(first, first + 6).alias("lease_ids"),
         F.floor(k / 30).alias("commit_offset"),
         (k % 400).alias("max_messages"),
         F.lit(0).cast("long").alias("max_age_ms"),
+        F.when(op == "set_rate_limit", k % 3 * 30).alias("rate_milli_per_sec"),
+        F.when(op == "set_rate_limit", 1 + k % 5).alias("burst"),
+        F.when(k % 15 == 6, 7_200_000 / 24).cast("long").alias("wait_ms"),
+        F.when(k % 25 == 11, "auto").alias("ack_mode"),
+        F.lit(None).cast("long").alias("prefetch"),
+        F.lit(None).cast("string").alias("client"),
     )
 
 
@@ -512,31 +523,81 @@ def replay_delivery(spark, sf_dir):
     return replay.replay(command_log(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_L}, o AS (SELECT *, CASE WHEN arrival % 1009 = 1008 THEN 'delete_topic' WHEN arrival % 211 = 0 THEN 'set_retention' WHEN arrival % 401 = 7 THEN 'set_rate_limit' WHEN arrival % 307 = 5 THEN 'commit'
+  WHEN arrival % 13 = 3 THEN 'nack' WHEN arrival % 7 = 2 THEN 'ack' WHEN arrival % 5 = 1 THEN 'poll' ELSE 'produce' END AS op FROM l),
+e AS (SELECT *, count(*) FILTER (op = 'delete_topic') OVER (PARTITION BY topic ORDER BY arrival) AS epoch FROM o),
+p AS (SELECT topic, epoch, producer_id, seq, arrival, min(arrival) OVER (PARTITION BY topic, epoch, producer_id, seq) AS first_arrival FROM e WHERE op = 'produce'),
+n AS (SELECT topic, arrival AS first_arrival, row_number() OVER (PARTITION BY topic, epoch ORDER BY arrival) - 1 AS msg_offset FROM p WHERE arrival = first_arrival)
+SELECT arrival AS cmd_seq, topic, CASE WHEN arrival = first_arrival THEN 'accepted' ELSE 'duplicate' END AS status, CAST(msg_offset AS BIGINT) AS msg_offset FROM p JOIN n USING (topic, first_arrival)"""
+)
+def replay_produced(spark, sf_dir):
+    """What the state machine answers to the produces among all commands."""
+    return replay.replay(command_log(spark, sf_dir)).where("op = 'produce'").select("cmd_seq", "topic", "status", "msg_offset")
+
+
 @query()
 def replay_global_leases(spark, sf_dir):
     return replay.with_global_leases(replay.replay(command_log(spark, sf_dir))).select("cmd_seq", "topic", "grp", "ord", "msg_offset", "global_lease_id")
 
 
+@query()
+def replay_recorded(spark, sf_dir):
+    """The log with one counter of leases over all topics."""
+    return replay.replay_recorded(command_log(spark, sf_dir))
+
+
 @query()
 def replay_paced(spark, sf_dir):
-    """Polls under a rate limit; the group g1 acknowledges by itself."""
-    return replay.replay_clients(command_log(spark, sf_dir), rate_milli=2, burst=20, auto_groups=("g1",))
+    """Commands a second apart; polls under the limits that the log sets, and under one of a message in 50 s before it does; the group g1 acknowledges by itself."""
+    return replay.replay_clients(command_log(spark, sf_dir).withColumn("ts_ms", F.col("cmd_seq") * 1000), rate_milli=20, burst=5, auto_groups=("g1",))
 
 
 @query()
+def replay_subscriptions(spark, sf_dir):
+    """Each topic has a subscriber that answers two of three messages; times are a tenth of a second apart."""
+    a = _accepted(spark, sf_dir).select("topic", "msg_offset", "priority")
+    k = F.col("msg_offset")
+    op = F.when(k == 0, "subscribe").when(k % 4 == 3, F.when(k % 12 == 11, "nack").otherwise("ack")).otherwise("produce")
+    asked = a.select(
+        "topic", k.alias("cmd_seq"), op.alias("op"), (k * 100).alias("ts_ms"), F.when(op != "produce", "g").alias("grp"), "priority", F.lit("").alias("producer_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("max"),
+        F.lit(1_500).cast("long").alias("visibility_timeout_ms"), F.array(F.floor(k / 4) * 2, F.floor(k / 4) * 2 - 5).alias("lease_ids"), F.lit(None).cast("long").alias("commit_offset"), F.lit(0).cast("long").alias("max_messages"), F.lit(0).cast("long").alias("max_age_ms"),
+        F.lit(8).cast("long").alias("prefetch"), F.lit("c").alias("client"),
+    )
+    return replay.replay_clients(asked)
+
+
+@query(
+    f"""WITH RECURSIVE {_A}, t AS (SELECT topic, list(ts_ms - msg_offset % 5 * 7200000 ORDER BY msg_offset) AS ts FROM a GROUP BY topic),
+f AS (SELECT topic, ts, 0 AS k, 0 AS first FROM t
+  UNION ALL SELECT topic, ts, k + 1, greatest(k + 1 - 499, first + coalesce(list_position(list_transform(ts[first + 1:k + 2], lambda x: greatest(ts[k + 2] - x, 0) <= 86400000), true), k + 2 - first) - 1) FROM f WHERE k + 1 < len(ts))
+SELECT topic, CAST(k AS BIGINT) AS msg_offset, CAST(first AS BIGINT) AS first_retained, CAST(k + 1 - first AS BIGINT) AS n_retained FROM f"""
+)
 def retention_nonmonotone(spark, sf_dir):
     a = _accepted(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") - F.col("msg_offset") % 5 * 7_200_000)
     return replay.purge_fold(a, most=500, age_ms=86_400_000)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_A}, s AS (SELECT topic, msg_offset AS step, CASE WHEN msg_offset % 11 = 10 THEN 'ack' WHEN msg_offset % 17 = 16 THEN 'nack' ELSE 'deliver' END AS kind, msg_offset // 8 % 20 AS o, msg_offset * 1000 AS now FROM a),
+f AS (SELECT topic, CAST(-1 AS BIGINT) AS step, '' AS kind, '' AS outcome, CAST(NULL AS BIGINT) AS resolved, 0 AS live,
+    CAST([] AS STRUCT(o BIGINT, times BIGINT, leases BIGINT[], until BIGINT)[]) AS held, CAST([] AS STRUCT(o BIGINT, until BIGINT)[]) AS quiet FROM ends
+  UNION ALL SELECT topic, step, kind,
+    CASE WHEN kind <> 'deliver' THEN CASE WHEN answered IS NULL THEN 'miss' ELSE kind END WHEN muted THEN 'already_acked' WHEN coalesce(known.times, 0) % 3 = 0 THEN 'pushed' ELSE 'refreshed' END,
+    CASE WHEN kind <> 'deliver' THEN answered.leases[-1] END, live,
+    CASE WHEN kind <> 'deliver' THEN list_filter(h, lambda r: answered IS NULL OR r.o <> answered.o) WHEN muted THEN h
+      ELSE list_append(list_filter(h, lambda r: r.o <> o), struct_pack(o := o, times := coalesce(known.times, 0) + 1, leases := list_append(coalesce(known.leases, CAST([] AS BIGINT[])), step)[-8:], until := now + 3000)) END,
+    CASE WHEN kind = 'ack' AND answered IS NOT NULL THEN list_append(list_filter(q, lambda r: r.o <> answered.o), struct_pack(o := answered.o, until := now + 5000)) ELSE q END
+  FROM (SELECT *, list_filter(h, lambda r: list_contains(r.leases, step - 6))[1] AS answered, list_filter(h, lambda r: r.o = o)[1] AS known, len(list_filter(q, lambda r: r.o = o)) > 0 AS muted, len(list_filter(h, lambda r: r.until > now)) AS live
+    FROM (SELECT s.*, list_filter(f.held, lambda r: r.until + 4000 > s.now) AS h, list_filter(f.quiet, lambda r: r.until > s.now) AS q FROM f JOIN s ON s.topic = f.topic AND s.step = f.step + 1) AS x) AS y)
+SELECT topic, step, kind, outcome, resolved AS resolved_lease, CAST(live AS BIGINT) AS live FROM f WHERE step >= 0"""
+)
 def subscribe_trace(spark, sf_dir):
-    """Messages delivered again and again, some acked by an old lease, some nacked."""
-    a = _accepted(spark, sf_dir)
+    """Messages delivered again and again, a second apart, with leases of three seconds; some acked by an older lease, some nacked."""
     k = F.col("msg_offset")
     kind = F.when(k % 11 == 10, "ack").when(k % 17 == 16, "nack").otherwise("deliver")
-    steps = a.select("topic", k.alias("step"), kind.alias("kind"), (F.floor(k / 8) % 20).alias("msg_offset"), F.when(kind == "deliver", k).otherwise(k - 6).alias("lease_id"), (F.col("ts_ms") + 60_000).alias("deadline_ms"), "ts_ms")
-    return replay.subscribe_trace(steps)
+    steps = _accepted(spark, sf_dir).select("topic", k.alias("step"), kind.alias("kind"), (F.floor(k / 8) % 20).alias("msg_offset"), F.when(kind == "deliver", k).otherwise(k - 6).alias("lease_id"), (k * 1000 + 3000).alias("deadline_ms"), (k * 1000).alias("ts_ms"))
+    return replay.subscribe_trace(steps, visibility_ms=4000)
 
 
 __all__ = ["ORACLE", "QUERIES", "command_log"]

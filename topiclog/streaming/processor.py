@@ -1,7 +1,8 @@
 """Command streams through the kernel, one state for each topic, with Structured Streaming.
 
 The state store holds each topic's kernel; a restart from the checkpoint goes on where the last finished batch ended. Events equal
-those of the batch replay of the same commands, as long as a topic's commands arrive in batches in order of cmd_seq.
+those of the batch replay of the same commands, as long as a topic's commands arrive in batches in order of cmd_seq. With `clients` a stream has what
+replay_clients has: pacing, long polls, automatic acks and subscriptions; what comes due between commands is answered with the next of them.
 """
 
 from __future__ import annotations
@@ -14,19 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from topiclog.operators.kernel import COMMAND, EVENT, Topic
+from topiclog.operators.replay import Clients
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = [x.split()[0] for x in EVENT.split(", ")]
 
 
 class TopicProcessor(StatefulProcessor):
-    """Applies a micro-batch's commands of one topic in order of cmd_seq."""
+    """Applies a micro-batch's commands of one topic in order of cmd_seq; start() makes a topic's first state."""
+
+    def __init__(self, start=Topic):
+        self.start = start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("topic", "kernel binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        topic = pickle.loads(self.state.get()[0]) if self.state.exists() else Topic()
+        topic = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
         batch = pd.concat(list(rows)).sort_values("cmd_seq").astype(object)
         whole = lambda v: [int(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, str) else v
         out = []
@@ -47,10 +52,10 @@ def read_commands(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
     return spark.readStream.schema(COMMAND).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def events(commands: DataFrame) -> DataFrame:
-    """Events of a stream of commands."""
+def events(commands: DataFrame, clients: bool = False) -> DataFrame:
+    """Events of a stream of commands, by the state machine alone or with what a leader does around it for clients."""
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return commands.groupBy("topic").transformWithStateInPandas(TopicProcessor(), EVENT, "Append", "None")
+    return commands.groupBy("topic").transformWithStateInPandas(TopicProcessor(Clients if clients else Topic), EVENT, "Append", "None")
 
 
 def write_events(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
