@@ -1,11 +1,12 @@
-"""Documents whose sets of word shingles have a Jaccard similarity of SIMILAR or more, exactly.
+"""Documents whose sets of word shingles have a Jaccard similarity of SIMILAR or more, exactly: SimHash proposes, an exact check decides, a prefix filter finds the rest.
 
-Candidates come from the prefix filter: in one order of all shingles, two sets that are similar enough
-share a shingle among the first n - ceil(SIMILAR * n) + 1 of each. Any order will do, so shingles are in the order of
+The first candidates come from operator 2: fingerprints over the same shingles, which its trie joins with itself. Its three bits stand for a
+similarity of about 0.98, so most pairs of SIMILAR lie beyond them. Those come from the prefix filter: in one order of all shingles, two sets that
+are similar enough share a shingle among the first n - ceil(SIMILAR * n) + 1 of each. Any order will do, so shingles are in the order of
 their hashes, and those that a sample finds frequent come last: that makes groups small and decides nothing. Each
 candidate pair is held against bitmaps of the sets, which bound what they can share, and if that leaves it possible
-against the whole sets, made anew from the texts. First each set is compared with the neighbour by size that it shares most with; then all pairs of a
-group that are not connected yet are, so a large group of near copies costs about as many pairs as it has members.
+against the whole sets, made anew from the texts. First each set is compared with its group's first by SimHash and with the neighbour by size that it shares most with;
+then all pairs of a group that are not connected yet are, so a large group of near copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from topiclog.llm.common import slices
 from topiclog.llm.components import connected, cut
+from topiclog.llm.simhash import fingerprint, near_links
 
 #: Words of a shingle, and the least similarity as a fraction.
 SIZE, SIMILAR = 5, (4, 5)
@@ -81,17 +83,19 @@ def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 8, most: i
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the set), n, bits and prefix of every row."""
+    """doc_id, h (hash of the text), node (hash of the set), fp (fingerprint), n, bits and prefix of every row."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [shingles(x) for x in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            own = [shingles(x) for x in texts]
             node = np.array([_node(x) for x in own], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array([len(x) for x in own], pa.int32()), _lists([bitmap(x) for x in own]), _lists([prefix(x, frequent.value) for x in own])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "n", "bits", "prefix"])
+            fp = np.array([fingerprint(x, SIZE) for x in texts], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array(fp), pa.array([len(x) for x in own], pa.int32()), _lists([bitmap(x) for x in own]), _lists([prefix(x, frequent.value) for x in own])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "fp", "n", "bits", "prefix"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) h", "text").mapInArrow(run, "doc_id long, h long, node long, n int, bits array<long>, prefix array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) h", "text").mapInArrow(run, "doc_id long, h long, node long, fp long, n int, bits array<long>, prefix array<long>")
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -128,21 +132,26 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of every row of docs.
+def _alike(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the first node of its group by SimHash, where their sizes allow for it."""
+    roots = connected(near_links(distinct.select("fp").distinct()))
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("root"))
+    first = member.groupBy("root").agg(F.min(F.struct("node", "n")).alias("first"))
+    pairs = member.join(first, "root").select("node", "n", F.col("first.node").alias("a"), F.col("first.n").alias("a_n"))
+    return pairs.where(F.col("node") != F.col("a")).where(_sizes_fit("n", "a_n")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
 
-    Rows whose sets of shingles of SIZE words have a Jaccard similarity of SIMILAR or more are linked; component_id is the smallest
-    doc_id reachable. Texts without words are alike. A null doc_id stays null and names a component only if all its rows have
-    none. Equal sets become one before anything is compared.
-    """
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h and node of every row, and node with its component's root."""
     prints = cut(_prints(docs))
-    distinct = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    distinct = cut(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
     order = Window.partitionBy("g").orderBy("n", "node")
     around = {"prev": F.lag("node").over(order), "prev_n": F.lag("n").over(order), "next": F.lead("node").over(order)}
     groups = cut(distinct.select("node", "n", F.explode("prefix").alias("g")).withColumns(around).where("prev is not null or next is not null").drop("next"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     shared = groups.where(F.col("prev").isNotNull() & _sizes_fit("prev_n", "n")).groupBy("node", "prev").count()
-    beside = cut(shared.groupBy("node").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev")).select(*pair("prev", "node")))
+    near = shared.groupBy("node").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev")).select(*pair("prev", "node"))
+    beside = cut(near.unionByName(_alike(distinct)).distinct())
     links = cut(similar(beside, distinct, docs))
     roots = connected(links)
     # what is not connected yet: in each group all pairs of different components, none of which lies in the largest whole
@@ -154,7 +163,34 @@ def near_copies(docs: DataFrame) -> DataFrame:
     more = cut(similar(rest, distinct, docs))
     if not more.isEmpty():
         roots = connected(links.unionByName(more))
-    member = distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.select("doc_id", "h", "node"), distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of every row of docs.
+
+    Rows whose sets of shingles of SIZE words have a Jaccard similarity of SIMILAR or more are linked; component_id is the smallest
+    doc_id reachable. Texts without words are alike. A null doc_id stays null and names a component only if all its rows have
+    none. Equal sets become one before anything is compared. Rows with one doc_id are rows of their own; an empty table gives no rows.
+    """
+    prints, member = _components(docs)
+    placed = prints.join(member, "node")
+    # rows of a component are combined before they are dealt out, so one of any size is a row of each task
+    lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = member.join(lowest, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return prints.join(named, "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest doc_id (null last), then of the least hash of its text.
+
+    A row is known by its doc_id and its text, so different texts under one doc_id, or under none, stay unless they are near copies; of rows that agree in
+    both, one stays (that of the least hash of all columns). Null and empty texts, and those of white space alone, are one group.
+    """
+    prints, member = _components(docs)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = prints.join(member, "node").groupBy("root").agg(F.min(rank).alias("f")).select(F.col("f.doc_id").alias("__tl_id"), F.col("f.h").alias("__tl_h"))
+    kept = docs.withColumn("__tl_x", F.xxhash64("text")).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_x") == F.col("__tl_h")), "left_semi")
+    plain = [f"`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy("doc_id", "__tl_x").orderBy(F.xxhash64(*plain))
+    return kept.withColumn("__tl_n", F.row_number().over(order)).where("__tl_n = 1").select(*(f"`{c}`" for c in docs.columns))
