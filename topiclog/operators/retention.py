@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topiclog.operators.numbering import carried
+
 
 def retained(messages: DataFrame, most: int = 0, age_ms: int = 0) -> DataFrame:
     """What is left after the last accepted produce, where ts_ms never falls with the offset (else use the fold); 0 switches a limit off."""
@@ -18,15 +20,17 @@ def retained(messages: DataFrame, most: int = 0, age_ms: int = 0) -> DataFrame:
     return joined.where(keep).drop("__last")
 
 
-def config_in_force(produces: DataFrame, configs: DataFrame, values: list[str]) -> DataFrame:
+def config_in_force(produces: DataFrame, configs: DataFrame, values: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Produces (topic, cmd_seq) with the last configuration (topic, cmd_seq, values) before them; null where there is none.
 
-    Configurations of a topic are few: they go to the produces as a sorted array, so no window has to hold a topic.
+    Both are one stream in order of cmd_seq, along which the configuration is carried; configurations of one number come after its produce.
     """
-    history = configs.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("cmd_seq", *values))).alias("__h"))
-    before = F.filter("__h", lambda c: c["cmd_seq"] < F.col("cmd_seq"))
-    joined = produces.join(history, "topic", "left").withColumn("__c", F.try_element_at(before, F.lit(-1)))
-    return joined.select(*produces.columns, *(F.col(f"__c.{v}").alias(v) for v in values))
+    row, held = F.struct(*(F.col(f"`{c}`") for c in produces.columns)), F.struct(*values)
+    kind = configs.select(held.alias("c")).schema["c"].dataType
+    whole = produces.select("topic", (2 * F.col("cmd_seq")).alias("__at"), F.lit(None).cast(kind).alias("__c"), row.alias("__row"))
+    marks = configs.select("topic", (2 * F.col("cmd_seq") + 1).alias("__at"), held.alias("__c"), F.lit(None).cast(whole.schema["__row"].dataType).alias("__row"))
+    known = carried(whole.unionByName(marks), ["topic"], "__at", "__c", "__held", rows_per_bucket).where("__row is not null")
+    return known.select("__row.*", *(F.col(f"__held.{v}").alias(v) for v in values))
 
 
 def rate_limits(configs: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def rate_limits(configs: DataFrame) -> DataFrame:
     return last.select("topic", "c.rate_milli_per_sec", F.greatest("c.burst", F.lit(1)).alias("burst"), (F.col("c.rate_milli_per_sec") > 0).alias("active"))
 
 
-def inter_arrival(messages: DataFrame) -> DataFrame:
-    """topic, gap_ms between neighbouring messages."""
-    before = F.lag("ts_ms").over(Window.partitionBy("topic").orderBy("msg_offset"))
-    return messages.select("topic", (F.col("ts_ms") - before).alias("gap_ms")).where("gap_ms is not null")
+def inter_arrival(messages: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """topic, gap_ms between neighbouring messages (ts_ms is not null)."""
+    before = carried(messages.select("topic", "msg_offset", "ts_ms"), ["topic"], "msg_offset", "ts_ms", "__before", rows_per_bucket)
+    return before.select("topic", (F.col("ts_ms") - F.col("__before")).alias("gap_ms")).where("gap_ms is not null")
