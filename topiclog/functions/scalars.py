@@ -90,3 +90,9 @@ def effective_retention(messages: Column, age: Column) -> Column:
     """A struct (messages, age): both 0 means the default cap, otherwise 0 switches that limit off."""
     unset = (messages == 0) & (age == 0)
     return F.struct(F.when(unset, RETAIN_MESSAGES_DEFAULT).otherwise(messages).alias("messages"), F.when(unset, 0).otherwise(age).alias("age"))
+
+
+def response_kind(op: Column, status: Column) -> Column:
+    """What kind of reply a command's event is sent as: error, produced, polled or ok."""
+    failed = status.isin("payload_too_large", "rate_limited", "not_leader", "bad_request", "bootstrap_failed", "internal")
+    return F.when(failed, "error").when(op == "produce", "produced").when(op.isin("poll", "subscribe"), "polled").otherwise("ok")

@@ -44,9 +44,10 @@ def commit(marks: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def coalesce_acks(acks: DataFrame, most: int = ACK_BATCH) -> DataFrame:
-    """One write for each topic, group and kind of every `most` acks in their order: batch_id, n, first_lease, last_lease."""
+    """One write for each topic, group and kind of every `most` acks in their order: batch_id, n, first_lease, last_lease, and lease_ids in the order of the acks."""
     numbered = number(acks, [], "cmd_seq", "__n").withColumn("batch_id", F.floor(F.col("__n") / most).cast("long"))
-    return numbered.groupBy("batch_id", "topic", "grp", "kind").agg(F.count("*").alias("n"), F.min("lease_id").alias("first_lease"), F.max("lease_id").alias("last_lease"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("__n", "lease_id"))), lambda x: x["lease_id"])  # `most` at most
+    return numbered.groupBy("batch_id", "topic", "grp", "kind").agg(F.count("*").alias("n"), F.min("lease_id").alias("first_lease"), F.max("lease_id").alias("last_lease"), ids.alias("lease_ids"))
 
 
 def reclaim(messages: DataFrame, marks: DataFrame) -> DataFrame:

@@ -59,13 +59,23 @@ def lease_status(leases: DataFrame, now: Column) -> DataFrame:
 def has_deliverable(messages: DataFrame, groups: DataFrame, states: DataFrame, now: Column) -> DataFrame:
     """topic, grp, deliverable for each wanted (topic, grp, ack_watermark; null: the group is unknown, any message will do).
 
-    states: topic, grp, msg_offset, acked, deadline_ms of messages that the group has acked or leased. A topic
-    without messages, or an unknown one, has nothing deliverable.
+    states: topic, grp, msg_offset, acked, deadline_ms of messages that the group has acked or leased, each once. A topic
+    without messages, or an unknown one, has nothing deliverable. Where a topic's offsets have no gaps, a group's messages are counted by the ends of
+    their range and those it holds by its states, so no message meets a group; only groups of topics with gaps are held against every message.
     """
-    every = messages.select("topic", "msg_offset").join(groups, "topic").join(states, ["topic", "grp", "msg_offset"], "left")
-    free = F.col("ack_watermark").isNull() | ((F.col("msg_offset") >= F.col("ack_watermark")) & ~F.coalesce("acked", F.lit(False)) & F.coalesce(expired(F.col("deadline_ms"), now), F.lit(True)))
-    found = every.where(free).select("topic", "grp").distinct().withColumn("deliverable", F.lit(True))
-    return groups.join(found, ["topic", "grp"], "left").select("topic", "grp", F.coalesce("deliverable", F.lit(False)).alias("deliverable"))
+    ends = messages.groupBy("topic").agg(F.min("msg_offset").alias("__lo"), F.max("msg_offset").alias("__hi"), F.count("*").alias("__n"))
+    wanted = groups.select("topic", "grp", "ack_watermark").join(ends, "topic", "left").withColumn("__from", F.greatest("__lo", "ack_watermark"))
+    wanted = wanted.withColumn("__whole", F.col("ack_watermark").isNull() | F.col("__n").isNull() | (F.col("__n") == F.col("__hi") - F.col("__lo") + 1))
+    taken = F.coalesce("acked", F.lit(False)) | ~F.coalesce(expired(F.col("deadline_ms"), now), F.lit(True))
+    inside = states.where(taken).join(wanted.select("topic", "grp", "__from", "__hi"), ["topic", "grp"]).where("msg_offset between __from and __hi")
+    held = inside.groupBy("topic", "grp").agg(F.count("*").alias("__held"))
+    by_count = F.when(F.col("ack_watermark").isNull(), F.col("__n") > 0).otherwise(F.col("__hi") - F.col("__from") + 1 > F.coalesce("__held", F.lit(0)))
+    counted = wanted.where("__whole").join(held, ["topic", "grp"], "left").select("topic", "grp", F.coalesce(by_count, F.lit(False)).alias("deliverable"))
+    doubtful = wanted.where("not __whole")
+    every = messages.select("topic", "msg_offset").join(doubtful, "topic").where("msg_offset >= ack_watermark")
+    free = every.join(states.where(taken).select("topic", "grp", "msg_offset"), ["topic", "grp", "msg_offset"], "left_anti").select("topic", "grp").distinct().withColumn("__free", F.lit(True))
+    searched = doubtful.join(free, ["topic", "grp"], "left").select("topic", "grp", F.coalesce("__free", F.lit(False)).alias("deliverable"))
+    return counted.unionByName(searched)
 
 
 def fan_out(messages: DataFrame, groups: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ def fold(rows: DataFrame, key: str, order: str, start: Callable[[], Any], step:
                 out = []
 
         for batch in batches:
-            for row in batch.to_pylist():
+            names = batch.schema.names
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
                 if state is None or row[key] != current:
                     if state is not None and finish:
                         out += finish(state)

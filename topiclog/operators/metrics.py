@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The texts of the exposition.
 GAUGES = {"topics": "Number of topics", "messages": "Number of retained messages across topics", "in_flight": "Number of leased (in-flight) messages"}
+NODE_GAUGES = {
+    "term": "Term of the writing node: how often the log got a new writer",
+    "is_leader": "Whether this node writes the log (1 or 0)",
+    "current_leader": "Number of the node that writes the log, 0 without one",
+    "last_log_index": "Highest index in the log",
+    "last_applied": "Highest index that the state contains",
+    "millis_since_quorum_ack": "Milliseconds since the log was last stored",
+}
+
+
+def node_gauges(log: DataFrame, applied: DataFrame, node: int, leader: int | None, term: int, now_ms: int) -> DataFrame:
+    """One row of NODE_GAUGES: log has cmd_seq and ts_ms, applied has cmd_seq; who writes, and in which term, is what the caller's cluster manager says."""
+    last = log.agg(F.coalesce(F.max("cmd_seq"), F.lit(0)).cast("long").alias("last_log_index"), (F.lit(now_ms) - F.coalesce(F.max("ts_ms"), F.lit(now_ms))).cast("long").alias("millis_since_quorum_ack"))
+    done = applied.agg(F.coalesce(F.max("cmd_seq"), F.lit(0)).cast("long").alias("last_applied"))
+    facts = {"term": term, "is_leader": int(leader == node), "current_leader": leader or 0}
+    return last.withColumn("__k", F.lit(0)).join(done.withColumn("__k", F.lit(0)), "__k").select(*(F.lit(v).cast("long").alias(k) for k, v in facts.items()), "last_log_index", "last_applied", "millis_since_quorum_ack")
 
 
 def gauges(topics: DataFrame, messages: DataFrame, leases: DataFrame) -> DataFrame:
@@ -19,9 +36,9 @@ def gauges(topics: DataFrame, messages: DataFrame, leases: DataFrame) -> DataFra
 
 
 def exposition(values: DataFrame, node: int, prefix: str = "topiclog") -> DataFrame:
-    """line_no and line of the text form of one row of gauges."""
+    """line_no and line of the text form of one row of gauges, of the node, the queue or both."""
     lines = []
-    for name, help_text in GAUGES.items():
+    for name, help_text in {k: v for k, v in (NODE_GAUGES | GAUGES).items() if k in values.columns}.items():
         metric = f"{prefix}_{name}"
         lines += [F.lit(f"# HELP {metric} {help_text}"), F.lit(f"# TYPE {metric} gauge"), F.concat(F.lit(f'{metric}{{node="{node}"}} '), F.col(name).cast("string"))]
     return values.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
@@ -33,6 +50,15 @@ def as_json(values: DataFrame, note: str = "") -> DataFrame:
     return values.select(F.to_json(F.create_map(*entries)).alias("json"))
 
 
+def merge_json(stored: DataFrame, values: DataFrame, note: str = "") -> DataFrame:
+    """A stored JSON object of metrics (one row, json; or none) with the gauges of one row put in: new names are added, known ones replaced, others stay."""
+    kind = "map<string,struct<value:bigint,note:string>>"
+    both = as_json(values, note).select(F.from_json("json", kind).alias("m"), F.lit(1).alias("__new")).unionByName(stored.select(F.from_json("json", kind).alias("m"), F.lit(0).alias("__new")))
+    rows = both.select("__new", F.explode("m").alias("name", "entry"))
+    last = rows.groupBy("name").agg(F.max_by("entry", "__new").alias("entry"))
+    return last.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "entry"))))).alias("json"))
+
+
 def nearest_rank(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """For each key the values at rank round((n - 1) * p), by counts of distinct values: no group is sorted in one task before it is reduced."""
     from pyspark.sql import Window

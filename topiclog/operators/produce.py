@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiclog.functions.scalars import BATCH_ITEMS
+from topiclog.functions.scalars import BATCH_ITEMS, DEDUP_CAPACITY
+from topiclog.operators.fold import fold
 from topiclog.operators.numbering import number
 
 KEY = ["topic", "producer_id", "seq"]
@@ -15,30 +18,88 @@ def _keyed(log: DataFrame) -> DataFrame:
     return log.where("producer_id <> ''")
 
 
-def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFrame:
+class _Known:
+    """The last `cap` accepted keys of a topic, oldest first, each with the arrival that was accepted."""
+
+    def __init__(self, cap: int):
+        self.cap, self.arrivals = cap, OrderedDict()
+
+    def first(self, key: tuple, arrival: int) -> int:
+        if key not in self.arrivals:
+            self.arrivals[key] = arrival
+            if len(self.arrivals) > self.cap:
+                self.arrivals.popitem(last=False)
+        return self.arrivals.get(key, arrival)
+
+
+def _crowded(log: DataFrame, cap: int) -> DataFrame | None:
+    """The topics with more than `cap` distinct keys, or None. Topics with no more rows than that are not looked into."""
+    keyed = _keyed(log)
+    large = keyed.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("topic")
+    if large.isEmpty():
+        return None
+    found = keyed.join(large, "topic", "left_semi").select(*KEY).distinct().groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("topic")
+    return None if found.isEmpty() else found
+
+
+def _firsts(log: DataFrame, cap: int) -> DataFrame:
+    """topic, arrival and first_arrival (the accepted one that the command repeats, or its own) of each command with a producer, in topics that forget keys."""
+    step = lambda known, row: [(row["topic"], row["arrival"], known.first((row["producer_id"], row["seq"]), row["arrival"]))]
+    return fold(_keyed(log).select(*KEY, "arrival"), "topic", "arrival", lambda: _Known(cap), step, "topic string, arrival long, first_arrival long")
+
+
+def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int = DEDUP_CAPACITY) -> DataFrame:
     """The produce commands that append a message, with msg_offset: the first of each (topic, producer_id, seq), and all without a producer.
 
-    Exact while no topic has more than DEDUP_CAPACITY distinct keys; beyond that the oldest keys are
-    forgotten, which replay() does in order.
+    A topic remembers its last `cap` accepted keys. While it has no more distinct ones, that is a minimum, combined before the shuffle; topics
+    with more, found by counting, go through their commands in order, one task each.
     """
-    first = _keyed(log).groupBy(*KEY).agg(F.min("arrival").alias("arrival"))
-    kept = log.join(first, [*KEY, "arrival"], "left_semi").unionByName(log.where("producer_id = '' or producer_id is null"))
+    crowded = _crowded(log, cap)
+    calm = log if crowded is None else log.join(crowded, "topic", "left_anti")
+    first = _keyed(calm).groupBy(*KEY).agg(F.min("arrival").alias("arrival"))
+    kept = calm.join(first, [*KEY, "arrival"], "left_semi")
+    if crowded is not None:
+        own = log.join(crowded, "topic", "left_semi")
+        fresh = _firsts(own, cap).where("arrival = first_arrival").select("topic", "arrival")
+        kept = kept.unionByName(_keyed(own).join(fresh, ["topic", "arrival"], "left_semi").select(*kept.columns))
+    kept = kept.select(*log.columns).unionByName(log.where("producer_id = '' or producer_id is null"))
     return number(kept, ["topic"], "arrival", "msg_offset", rows_per_bucket)
 
 
-def offsets(log: DataFrame) -> DataFrame:
+def offsets(log: DataFrame, cap: int = DEDUP_CAPACITY) -> DataFrame:
     """Every command with the offset that it is answered with; a duplicate gets the original's."""
-    kept = accepted(log).select(*KEY, F.col("arrival").alias("first_arrival"), "msg_offset")
-    keyed = _keyed(log).join(kept.where("producer_id <> ''"), KEY)
+    kept = accepted(log, cap=cap).select(*KEY, F.col("arrival").alias("first_arrival"), "msg_offset")
+    crowded = _crowded(log, cap)
+    calm = log if crowded is None else log.join(crowded, "topic", "left_anti").select(*log.columns)
+    own = kept.where("producer_id <> ''")
+    keyed = _keyed(calm).join(own if crowded is None else own.join(crowded, "topic", "left_anti"), KEY)
+    if crowded is not None:
+        again = _firsts(log.join(crowded, "topic", "left_semi"), cap)
+        named = _keyed(log).join(again, ["topic", "arrival"]).join(kept.select("topic", "first_arrival", "msg_offset"), ["topic", "first_arrival"])
+        keyed = keyed.unionByName(named.select(*keyed.columns))
     free = log.where("producer_id = '' or producer_id is null").join(kept.select("topic", "first_arrival", "msg_offset"), (log["arrival"] == kept["first_arrival"]) & (log["topic"] == kept["topic"])).drop(kept["topic"])
     return keyed.unionByName(free.select(*keyed.columns)).withColumn("duplicate", F.col("arrival") != F.col("first_arrival")).drop("first_arrival")
 
 
-def attempts(log: DataFrame) -> DataFrame:
+def attempts(log: DataFrame, cap: int = DEDUP_CAPACITY) -> DataFrame:
     """topic, attempts, accepted, duplicates."""
     per_key = log.groupBy(*KEY).agg(F.count("*").alias("n"))
     new = F.when(F.coalesce("producer_id", F.lit("")) == "", F.col("n")).otherwise(1)
-    return per_key.groupBy("topic").agg(F.sum("n").alias("attempts"), F.sum(new).alias("accepted"), F.sum(F.col("n") - new).alias("duplicates"))
+    found = per_key.groupBy("topic").agg(F.sum("n").alias("attempts"), F.sum(new).alias("accepted"))
+    crowded = _crowded(log, cap)
+    if crowded is not None:
+        more = _firsts(log.join(crowded, "topic", "left_semi"), cap).groupBy("topic").agg(F.count_if(F.col("arrival") == F.col("first_arrival")).alias("a"))
+        free = log.where("producer_id = '' or producer_id is null").groupBy("topic").agg(F.count("*").alias("f"))
+        exact = more.join(free, "topic", "left").select("topic", (F.col("a") + F.coalesce("f", F.lit(0))).alias("exact"))
+        found = found.join(exact, "topic", "left").select("topic", "attempts", F.coalesce("exact", "accepted").alias("accepted"))
+    return found.withColumn("duplicates", F.col("attempts") - F.col("accepted"))
+
+
+def batch_replies(log: DataFrame, items: int = BATCH_ITEMS) -> DataFrame:
+    """batch_id, item, topic, arrival, msg_offset: batches of `items` commands over all topics, written as one, and the reply to each command by its place."""
+    placed = number(log.select("topic", "arrival"), [], "arrival", "__n")
+    answered = offsets(log).select("topic", "arrival", "msg_offset")
+    return placed.join(answered, ["topic", "arrival"]).select(F.floor(F.col("__n") / items).cast("long").alias("batch_id"), (F.col("__n") % items).cast("int").alias("item"), "topic", "arrival", "msg_offset")
 
 
 def count_batches(log: DataFrame, items: int = BATCH_ITEMS) -> DataFrame:

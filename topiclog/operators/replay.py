@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,45 @@ def replay_recorded(commands: DataFrame) -> DataFrame:
     return fold(commands.withColumn("__all", F.lit(0)), "__all", "cmd_seq", start, step, EVENT)
 
 
+SNAPSHOT = "topic string, last_seq long, state binary"
+
+
+def snapshot(commands: DataFrame, upto: int, before: DataFrame | None = None) -> DataFrame:
+    """The state of each topic after the commands up to cmd_seq `upto` (and those that the snapshot `before` contains), as rows of SNAPSHOT."""
+    return _from(commands.where(F.col("cmd_seq") <= upto), before, SNAPSHOT, lambda held, row: [], lambda held: [(held["name"], held["last"], pickle.dumps(held["topic"]))])
+
+
+def replay_after(commands: DataFrame, installed: DataFrame) -> DataFrame:
+    """Events of the commands behind a snapshot: those that a topic's state contains are skipped, topics that it does not have begin anew."""
+    return _from(commands, installed, EVENT, lambda held, row: held["topic"].apply(row), None)
+
+
+def current_snapshot(snapshots: DataFrame) -> DataFrame:
+    """Of several snapshots of a topic the newest."""
+    return snapshots.groupBy("topic").agg(F.max_by(F.struct("last_seq", "state"), "last_seq").alias("s")).select("topic", "s.last_seq", "s.state")
+
+
+def _from(commands: DataFrame, before: DataFrame | None, schema: str, step, finish) -> DataFrame:
+    """A fold over commands in which a row with a state takes the place of all that came before it. States are pickled by this module and read back only from where it wrote them."""
+    rows = commands.withColumn("__state", F.lit(None).cast("binary"))
+    if before is not None:
+        rows = rows.unionByName(before.select("topic", F.col("last_seq").alias("cmd_seq"), F.col("state").alias("__state")), allowMissingColumns=True)
+    rows = rows.withColumn("__at", F.struct("cmd_seq", F.col("__state").isNotNull().cast("int")))
+    start = lambda: {"name": None, "last": -1, "topic": Topic()}
+
+    def each(held, row):
+        held["name"] = row["topic"]
+        if row["__state"] is not None:
+            held.update(topic=pickle.loads(row["__state"]), last=row["cmd_seq"])
+            return []
+        out = step(held, row) if schema == EVENT else held["topic"].apply(row) and []
+        held["last"] = row["cmd_seq"]
+        return out
+
+    newest = rows.join(before.select("topic", F.col("last_seq").alias("__done")), "topic", "left").where("__state is not null or __done is null or cmd_seq > __done").drop("__done") if before is not None else rows
+    return fold(newest, "topic", "__at", start, each, schema, finish)
+
+
 class Clients:
     """A topic and what its leader does around it for clients: poll defaults, pacing, long polls, automatic acks, subscriptions.
 

@@ -93,17 +93,38 @@ def produce_batch_count_cut(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE d AS (SELECT lang AS topic, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, strlen(text) AS size FROM documents),
-f AS (SELECT topic, k, 0 AS batch_id, 1 AS n, size AS bytes FROM d WHERE k = 1
-  UNION ALL SELECT d.topic, d.k, CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN f.batch_id + 1 ELSE f.batch_id END,
+    """WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, strlen(text) AS size FROM documents),
+f AS (SELECT doc_id, k, 0 AS batch_id, 1 AS n, size AS bytes FROM d WHERE k = 1
+  UNION ALL SELECT d.doc_id, d.k, CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN f.batch_id + 1 ELSE f.batch_id END,
     CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 16 OR f.bytes >= 16384 THEN d.size ELSE f.bytes + d.size END
-  FROM f JOIN d ON d.topic = f.topic AND d.k = f.k + 1)
-SELECT topic, CAST(batch_id AS BIGINT) AS batch_id, CAST(max(n) AS BIGINT) AS n, CAST(max(bytes) AS BIGINT) AS bytes FROM f GROUP BY topic, batch_id"""
+  FROM f JOIN d ON d.k = f.k + 1)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(max(n) AS BIGINT) AS n, CAST(max(bytes) AS BIGINT) AS bytes, min(doc_id) AS first_arrival, max(doc_id) AS last_arrival FROM f GROUP BY batch_id"""
 )
 def produce_batch_byte_cut(spark, sf_dir):
     return pacing.byte_batches(tables.document_log(spark, sf_dir), items=16, cap=16_384)
 
 
+@query(
+    f"""WITH {_A}, n AS (SELECT arrival, row_number() OVER (ORDER BY arrival) - 1 AS place FROM l)
+SELECT CAST(place // 256 AS BIGINT) AS batch_id, CAST(place % 256 AS INTEGER) AS item, l.topic, l.arrival, a.msg_offset FROM l JOIN n USING (arrival) JOIN a USING (topic, producer_id, seq)"""
+)
+def produce_batch_replies(spark, sf_dir):
+    return produce.batch_replies(tables.produce_log(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {_L}, q AS (SELECT topic, arrival, producer_id || ':' || seq AS key, row_number() OVER (PARTITION BY topic ORDER BY arrival) AS k FROM l),
+f AS (SELECT DISTINCT topic, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS arrival, CAST(0 AS BIGINT) AS answer, false AS duplicate, CAST(0 AS BIGINT) AS next, CAST([] AS VARCHAR[]) AS keys, CAST([] AS BIGINT[]) AS offs FROM q
+  UNION ALL SELECT topic, k, arrival, CASE WHEN p > 0 THEN offs[p] ELSE next END, p > 0, CASE WHEN p > 0 THEN next ELSE next + 1 END,
+    CASE WHEN p > 0 THEN keys ELSE list_append(keys, key)[-300:] END, CASE WHEN p > 0 THEN offs ELSE list_append(offs, next)[-300:] END
+  FROM (SELECT q.topic, q.k, q.arrival, q.key, f.next, f.keys, f.offs, coalesce(list_position(f.keys, q.key), 0) AS p FROM f JOIN q ON q.topic = f.topic AND q.k = f.k + 1) AS x)
+SELECT topic, arrival, answer AS msg_offset, duplicate FROM f WHERE k > 0"""
+)
+def produce_forgets_keys(spark, sf_dir):
+    """A memory of 300 keys a topic: what was said longer ago is accepted again."""
+    return produce.offsets(tables.produce_log(spark, sf_dir), cap=300).select("topic", "arrival", "msg_offset", "duplicate")
+
+
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, CASE WHEN strlen(text) > 8192 THEN 'payload_too_large' ELSE 'ok' END AS status FROM documents")
 def payload_too_large(spark, sf_dir):
     log = tables.document_log(spark, sf_dir)
@@ -242,12 +263,12 @@ def acked_above_gaps(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LEASES}, acks AS (SELECT arrival AS cmd_seq, topic, 'g' AS grp, arrival % 100 AS lease_id, CASE WHEN arrival % 4 = 0 THEN 'nack' ELSE 'ack' END AS kind FROM l WHERE arrival < 2000),
+    f"""WITH {_LEASES}, acks AS (SELECT arrival AS cmd_seq, topic, 'g' AS grp, arrival % 100 AS lease_id, CASE WHEN arrival % 4 = 0 THEN 'nack' ELSE 'ack' END AS kind FROM l),
 r AS (SELECT acks.*, leases.msg_offset, row_number() OVER (PARTITION BY acks.topic, acks.lease_id ORDER BY cmd_seq) AS k FROM acks LEFT JOIN leases ON acks.topic = leases.topic AND acks.lease_id = leases.lease_id)
 SELECT cmd_seq, topic, lease_id, CASE WHEN msg_offset IS NOT NULL AND k = 1 THEN msg_offset END AS msg_offset, CASE WHEN msg_offset IS NOT NULL AND k = 1 THEN kind ELSE 'miss' END AS outcome FROM r"""
 )
 def ack_join(spark, sf_dir):
-    acks = tables.produce_log(spark, sf_dir).where("arrival < 2000").selectExpr("arrival cmd_seq", "topic", "'g' grp", "arrival % 100 lease_id", "case when arrival % 4 = 0 then 'nack' else 'ack' end kind")
+    acks = tables.produce_log(spark, sf_dir).selectExpr("arrival cmd_seq", "topic", "'g' grp", "arrival % 100 lease_id", "case when arrival % 4 = 0 then 'nack' else 'ack' end kind")
     return ack.settle(acks, _leases(spark, sf_dir).withColumn("grp", F.lit("g"))).select("cmd_seq", "topic", "lease_id", "msg_offset", "outcome")
 
 
@@ -273,12 +294,12 @@ def commit_offset(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_L}, k AS (SELECT topic, 'g' || (arrival % 3) AS grp, CASE WHEN arrival % 5 = 0 THEN 'nack' ELSE 'ack' END AS kind, arrival * 7 % 1000 AS lease_id, (row_number() OVER (ORDER BY arrival) - 1) // 1024 AS b FROM l)
-SELECT CAST(b AS BIGINT) AS batch_id, topic, grp, kind, count(*) AS n, min(lease_id) AS first_lease, max(lease_id) AS last_lease FROM k GROUP BY ALL"""
+    f"""WITH {_L}, k AS (SELECT topic, 'g' || (arrival % 3) AS grp, CASE WHEN arrival % 5 = 0 THEN 'nack' ELSE 'ack' END AS kind, arrival * 7 % 1000 AS lease_id, arrival, (row_number() OVER (ORDER BY arrival) - 1) // 1024 AS b FROM l)
+SELECT CAST(b AS BIGINT) AS batch_id, topic, grp, kind, count(*) AS n, min(lease_id) AS first_lease, max(lease_id) AS last_lease, string_agg(CAST(lease_id AS VARCHAR), ',' ORDER BY arrival) AS leases FROM k GROUP BY ALL"""
 )
 def ack_coalesce(spark, sf_dir):
     acks = tables.produce_log(spark, sf_dir).selectExpr("arrival cmd_seq", "topic", "concat('g', arrival % 3) grp", "case when arrival % 5 = 0 then 'nack' else 'ack' end kind", "arrival * 7 % 1000 lease_id")
-    return ack.coalesce_acks(acks)
+    return ack.coalesce_acks(acks).withColumn("leases", F.array_join(F.col("lease_ids").cast("array<string>"), ",")).drop("lease_ids")
 
 
 @query(f"WITH {_A} SELECT topic, any_value(next_offset // 3) AS slowest, count(*) AS retained FROM a JOIN ends USING (topic) WHERE msg_offset >= next_offset // 3 GROUP BY topic")
@@ -363,11 +384,28 @@ def log_range_scan(spark, sf_dir):
     return stored_log.scan_range(_order_log(spark, sf_dir), 1000, 2000)
 
 
-@query("SELECT o_orderkey AS idx, CASE WHEN o_orderkey >= 900 AND o_orderkey < 1200 THEN -1.0 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey < 1200")
+@query(
+    """WITH o AS (SELECT o_orderkey AS idx, o_totalprice AS price FROM orders), m AS (SELECT max(idx) AS m FROM o),
+p AS (SELECT idx + 150 AS idx, -1.0 AS price FROM o, m WHERE idx > m - 300)
+SELECT * FROM p UNION ALL SELECT * FROM o WHERE idx NOT IN (SELECT idx FROM p)"""
+)
 def log_overlay_merge(spark, sf_dir):
+    """The whole log with a pending suffix that replaces its end and goes beyond it."""
+    log = _order_log(spark, sf_dir)
+    end = stored_log.bounds(log).select("last_idx")
+    pending = log.where(F.col("idx") > end.scalar() - 300).select((F.col("idx") + 150).alias("idx"), F.lit(-1.0).cast("double").alias("price"))
+    return stored_log.overlay(log, pending)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS idx, o_totalprice AS price FROM orders), e AS (SELECT o_orderkey // 10 * 3 AS idx, max_by(o_totalprice + 1, o_orderkey) AS price FROM orders GROUP BY 1)
+SELECT * FROM e UNION ALL SELECT * FROM o WHERE idx NOT IN (SELECT idx FROM e)"""
+)
+def log_append(spark, sf_dir):
+    """Entries for every third index, ten for each of them; the last one counts."""
     log = _order_log(spark, sf_dir)
-    pending = stored_log.scan_range(log, 900, 1200).withColumn("price", F.lit(-1.0).cast("double"))
-    return stored_log.overlay(stored_log.scan_range(log, None, 1000), pending)
+    entries = log.select((F.floor(F.col("idx") / 10) * 3).cast("long").alias("idx"), (F.col("price") + 1).alias("price"), F.col("idx").alias("at"))
+    return stored_log.append(log, entries, "at")
 
 
 @query("SELECT min(o_orderkey) AS first_idx, max(o_orderkey) AS last_idx FROM orders WHERE o_orderkey < 1200 AND o_orderkey > 77")
@@ -437,6 +475,36 @@ def metrics_json(spark, sf_dir):
     return metrics.as_json(_gauges(spark, sf_dir), "n")
 
 
+@query(
+    f"""WITH {_L}, g AS (SELECT max(arrival) AS i, max(arrival) FILTER (arrival % 100 <> 0 AND arrival % 3 <> 0) AS a, 4102444800000 - max(ts_ms) AS q FROM l),
+t(k, name, h, v) AS (SELECT 0, 'term', '{metrics.NODE_GAUGES["term"]}', 3 FROM g UNION ALL SELECT 1, 'is_leader', '{metrics.NODE_GAUGES["is_leader"]}', 0 FROM g UNION ALL SELECT 2, 'current_leader', '{metrics.NODE_GAUGES["current_leader"]}', 2 FROM g
+  UNION ALL SELECT 3, 'last_log_index', '{metrics.NODE_GAUGES["last_log_index"]}', i FROM g UNION ALL SELECT 4, 'last_applied', '{metrics.NODE_GAUGES["last_applied"]}', a FROM g UNION ALL SELECT 5, 'millis_since_quorum_ack', '{metrics.NODE_GAUGES["millis_since_quorum_ack"]}', q FROM g)
+SELECT CAST(3 * k AS INTEGER) AS line_no, '# HELP topiclog_' || name || ' ' || h AS line FROM t UNION ALL SELECT CAST(3 * k + 1 AS INTEGER), '# TYPE topiclog_' || name || ' gauge' FROM t UNION ALL SELECT CAST(3 * k + 2 AS INTEGER), 'topiclog_' || name || '{{node="1"}} ' || v FROM t"""
+)
+def metrics_node(spark, sf_dir):
+    """A follower's gauges, a part of the log behind its leader, at the end of 2099."""
+    log = tables.produce_log(spark, sf_dir).select(F.col("arrival").alias("cmd_seq"), "ts_ms")
+    return metrics.exposition(metrics.node_gauges(log, log.where("cmd_seq % 100 <> 0 and cmd_seq % 3 <> 0"), node=1, leader=2, term=3, now_ms=4_102_444_800_000), node=1)
+
+
+@query(f"""WITH {_GAUGES} SELECT '{{"in_flight":{{"value":' || in_flight || ',"note":"n"}},"messages":{{"value":' || messages || ',"note":"n"}},"old":{{"value":7,"note":"kept"}},"topics":{{"value":' || topics || ',"note":"n"}}}}' AS json FROM g""")
+def metrics_merge(spark, sf_dir):
+    """Gauges put into a stored object that has an entry of its own and an older value."""
+    stored = spark.createDataFrame([('{"old":{"value":7,"note":"kept"},"topics":{"value":-1,"note":"old"}}',)], "json string")
+    return metrics.merge_json(stored, _gauges(spark, sf_dir), "n")
+
+
+@query(
+    f"""WITH {_L}, o AS (SELECT CASE WHEN arrival % 1009 = 1008 THEN 'delete_topic' WHEN arrival % 211 = 0 THEN 'set_retention' WHEN arrival % 401 = 7 THEN 'set_rate_limit' WHEN arrival % 307 = 5 THEN 'commit'
+  WHEN arrival % 13 = 3 THEN 'nack' WHEN arrival % 7 = 2 THEN 'ack' WHEN arrival % 5 = 1 THEN 'poll' ELSE 'produce' END AS op, arrival FROM l)
+SELECT op, CASE WHEN arrival % 4 = 0 THEN 'error' WHEN op = 'produce' THEN 'produced' WHEN op = 'poll' THEN 'polled' ELSE 'ok' END AS kind, count(*) AS n FROM o GROUP BY ALL"""
+)
+def response_kinds(spark, sf_dir):
+    """The kinds of replies to all commands, if every fourth fails."""
+    kind = scalars.response_kind(F.col("op"), F.when(F.col("cmd_seq") % 4 == 0, "rate_limited").otherwise("ok"))
+    return command_log(spark, sf_dir).groupBy("op", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query(
     f"""WITH {_L}, c AS (SELECT topic, max_by(arrival % 3 * 500, arrival) AS rate, max_by(arrival % 4, arrival) AS burst FROM l WHERE arrival % 89 = 0 GROUP BY topic)
 SELECT topic, rate AS rate_milli_per_sec, greatest(burst, 1) AS burst, rate > 0 AS active FROM c"""
@@ -536,6 +604,14 @@ def replay_produced(spark, sf_dir):
     return replay.replay(command_log(spark, sf_dir)).where("op = 'produce'").select("cmd_seq", "topic", "status", "msg_offset")
 
 
+@query()
+def replay_after_snapshot(spark, sf_dir):
+    """The events behind a snapshot that was made of two parts of the log."""
+    commands = command_log(spark, sf_dir)
+    first = replay.snapshot(commands, 200)
+    return replay.replay_after(commands, replay.current_snapshot(first.unionByName(replay.snapshot(commands, 600, first))))
+
+
 @query()
 def replay_global_leases(spark, sf_dir):
     return replay.with_global_leases(replay.replay(command_log(spark, sf_dir))).select("cmd_seq", "topic", "grp", "ord", "msg_offset", "global_lease_id")

@@ -44,6 +44,20 @@ def overlay(stored: DataFrame, pending: DataFrame) -> DataFrame:
     return pending.unionByName(stored.join(pending.select("idx"), "idx", "left_anti"))
 
 
+def append(log: DataFrame, entries: DataFrame, order: str | None = None) -> DataFrame:
+    """The log after entries are written by their idx: an idx that is there is replaced. Where entries repeat an idx the last by `order` counts."""
+    if order:
+        others = [c for c in log.columns if c != "idx"]
+        entries = entries.groupBy("idx").agg(F.max_by(F.struct(*others), order).alias("e")).select("idx", "e.*")
+    return overlay(log, entries.select(*log.columns))
+
+
+def write_log(log: DataFrame, path: str, files: int | None = None) -> None:
+    """The log as Parquet, sorted and dealt out by ranges of idx, so that scan_range reads few row groups. Written beside and moved by the committer, so a reader sees all of it or nothing."""
+    dealt = log.repartitionByRange(files, "idx") if files else log.repartitionByRange("idx")
+    dealt.sortWithinPartitions("idx").write.mode("errorifexists").parquet(path)
+
+
 def truncate_from(log: DataFrame, idx: int) -> DataFrame:
     return log.where(F.col("idx") < idx)
 
