@@ -4,9 +4,9 @@ The first candidates come from operator 2: fingerprints over the same shingles,
 similarity of about 0.98, so most pairs of SIMILAR lie beyond them. Those come from the prefix filter: in one order of all shingles, two sets that
 are similar enough share a shingle among the first n - ceil(SIMILAR * n) + 1 of each. Any order will do, so shingles are in the order of
 their hashes, and those that a sample finds frequent come last: that makes groups small and decides nothing. Each
-candidate pair is held against bitmaps of the sets, which bound what they can share, and if that leaves it possible
-against the whole sets, made anew from the texts. First each set is compared with its group's first by SimHash and with the neighbour by size that it shares most with;
-then all pairs of a group that are not connected yet are, so a large group of near copies costs about as many pairs as it has members.
+candidate pair is held against bitmaps of the sets, as long as the sets, which bound what they can share, and if that leaves it possible
+against the whole sets, made anew from the texts. First each set is compared with its group's first by SimHash; then, where a shingle's sets are not all connected,
+with the neighbour by size that it shares most with; then all pairs that are not connected yet are, so a large group of near copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from topiclog.llm.simhash import fingerprint, near_links
 
 #: Words of a shingle, and the least similarity as a fraction.
 SIZE, SIMILAR = 5, (4, 5)
-#: Bits of a set's bitmap: each shingle turns one over, so two bitmaps differ in no more bits than the sets in shingles.
+#: Least bits of a set's bitmap; a larger set has a power of two not below its size. Each shingle turns one over, so two bitmaps differ in no more bits than the sets in shingles.
 BITS = 1024
-#: Most hashes of wanted texts that are broadcast (8 bytes each); beyond that the same join is a shuffle.
+#: Most hashes of wanted texts, or keys of rows, that are broadcast (8 and 25 bytes each); beyond that the same join is a shuffle.
 BROADCAST = 1 << 21
 
 
@@ -64,11 +64,18 @@ def _node(own: np.ndarray) -> int:
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """BITS bits in 64-bit numbers; a bit says whether an odd number of shingles fall on it."""
-    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Bits in 64-bit numbers; a bit says whether an odd number of shingles fall on it."""
+    bits = max(BITS, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def _folded(bits: Column, size: Column) -> Column:
+    """The bitmap that the set would have with `size` numbers, which divide its own."""
+    fold = lambda i: F.aggregate(F.sequence(F.lit(0), (F.size(bits) / size).cast("int") - 1), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(bits, i + k * size)))
+    return F.when(F.size(bits) == size, bits).otherwise(F.transform(F.sequence(F.lit(0), size - 1), lambda i: fold(i)))
+
+
 def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 8, most: int = 1 << 16) -> np.ndarray:
     """Shingles of at least `least` of the texts in a sample, the `most` most frequent; they are for the order alone, no result depends on them."""
 
@@ -121,7 +128,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     side = lambda name: nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", "h", "bits")))
-    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    least = F.least(F.size("a_bits"), F.size("b_bits"))
+    apart = F.aggregate(F.zip_with(_folded(F.col("a_bits"), least), _folded(F.col("b_bits"), least), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("a_n") + F.col("b_n")
     possible = cut(pairs.join(side("a"), "a").join(side("b"), "b").where((most + of) * (total - apart) >= 2 * most * total).select("a", "b", "a_h", "b_h"))
     wanted = possible.select(F.explode(F.array("a_h", "b_h")).alias("h")).distinct()
@@ -145,15 +153,21 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, h and node of every row, and node with its component's root."""
     prints = cut(_prints(docs))
     distinct = cut(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    order = Window.partitionBy("g").orderBy("n", "node")
-    around = {"prev": F.lag("node").over(order), "prev_n": F.lag("n").over(order), "next": F.lead("node").over(order)}
-    groups = cut(distinct.select("node", "n", F.explode("prefix").alias("g")).withColumns(around).where("prev is not null or next is not null").drop("next"))
+    alike = cut(_alike(distinct))
+    first_links = cut(similar(alike, distinct, docs))
+    roots = connected(first_links)
+    # a shingle whose sets are all connected has nothing more to find; the others' sets meet their neighbours by size
+    order, whole = Window.partitionBy("g").orderBy("n", "node"), Window.partitionBy("g")
+    around = {"prev": F.lag("node").over(order), "prev_n": F.lag("n").over(order), "prev_part": F.lag("part").over(order), "low": F.min("part").over(whole), "high": F.max("part").over(whole)}
+    rows = distinct.select("node", "n", "prefix").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("part"), F.explode("prefix").alias("g"))
+    groups = cut(rows.withColumns(around).where("low <> high").drop("low", "high"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    shared = groups.where(F.col("prev").isNotNull() & _sizes_fit("prev_n", "n")).groupBy("node", "prev").count()
+    shared = groups.where((F.col("prev_part") != F.col("part")) & _sizes_fit("prev_n", "n")).groupBy("node", "prev").count()
     near = shared.groupBy("node").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev")).select(*pair("prev", "node"))
-    beside = cut(near.unionByName(_alike(distinct)).distinct())
-    links = cut(similar(beside, distinct, docs))
+    beside = cut(near.distinct().join(alike, ["a", "b"], "left_anti"))
+    links = first_links.unionByName(cut(similar(beside, distinct, docs)))
     roots = connected(links)
+    beside = beside.unionByName(alike)
     # what is not connected yet: in each group all pairs of different components, none of which lies in the largest whole
     placed = cut(groups.select("g", "node", "n").join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("part")))
     main = placed.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("g", "main")
@@ -189,8 +203,23 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     prints, member = _components(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    first = prints.join(member, "node").groupBy("root").agg(F.min(rank).alias("f")).select(F.col("f.doc_id").alias("__tl_id"), F.col("f.h").alias("__tl_h"))
-    kept = docs.withColumn("__tl_x", F.xxhash64("text")).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_x") == F.col("__tl_h")), "left_semi")
+    rows = prints.groupBy("doc_id", "h", "node").agg(F.count("*").alias("n")).join(member, "node")
+    first = rows.groupBy("root").agg(F.min(rank).alias("f"))
+    stays = (F.struct(*rank_of("f")) == F.struct(*rank_of(None))).alias("__tl_stays")
+    odd = rows.join(first, "root").select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("__tl_id"), F.col("doc_id").isNull().alias("__tl_none"), F.col("h").alias("__tl_h"), "n", stays)
+    # most rows stay and are alone: only those that go, or of which one of several stays, need be known
+    odd = cut(odd.where("not __tl_stays or n > 1").drop("n"))
+    key = ["__tl_id", "__tl_none", "__tl_h"]
+    of = {"__tl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__tl_none": F.col("doc_id").isNull(), "__tl_h": F.xxhash64("text")}
+    marked = docs.withColumns(of).join(F.broadcast(odd) if odd.count() <= BROADCAST else odd, key, "left")
+    names = [f"`{c}`" for c in docs.columns]
     plain = [f"`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    order = Window.partitionBy("doc_id", "__tl_x").orderBy(F.xxhash64(*plain))
-    return kept.withColumn("__tl_n", F.row_number().over(order)).where("__tl_n = 1").select(*(f"`{c}`" for c in docs.columns))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64(*plain))
+    again = marked.where("__tl_stays").withColumn("__tl_n", F.row_number().over(order)).where("__tl_n = 1")
+    return marked.where("__tl_stays is null").select(*names).unionByName(again.select(*names))
+
+
+def rank_of(struct: str | None) -> list[Column]:
+    """A row's rank with nulls made comparable."""
+    own = (lambda c: F.col(f"{struct}.{c}")) if struct else F.col
+    return [F.coalesce(own("doc_id"), F.lit(0).cast("long")).alias("id"), own("doc_id").isNull().alias("none"), own("h").alias("h")]
