@@ -81,13 +81,15 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, word_chars, n_symbols, CAST(l
 
 def license_scan() -> str:
     """The same pieces, identifiers and rules, over lists."""
-    from topiclog.llm.license_scan import PART_OF, RULES, TRIGGER, piece_table
+    from topiclog.llm.license_scan import NOTICE, PART_OF, TRIGGER, UNDER, notices, piece_table, rules
 
     known, patterns = piece_table()
+    forms = notices()
 
     def ids(cut: str) -> str:
         clean = f"list_filter(list_transform(string_split({cut}, chr(1)), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '')"
-        numbers = f"list_transform({clean}, lambda x: coalesce(CAST(list_position({_list(known)}, x) - 1 AS VARCHAR), '-'))"
+        notice = f"list_extract({_list(f'<{i}>' for i in forms.values())}, list_position({_list(forms)}, regexp_replace(x, {_text(NOTICE)}, {_text(UNDER)})))"
+        numbers = f"list_transform({clean}, lambda x: coalesce(CAST(list_position({_list(known)}, x) - 1 AS VARCHAR), {notice}, '-'))"
         out = f"regexp_replace(' ' || array_to_string({numbers}, '  ') || ' ', '(?: - )+', ' - ', 'g')"
         for name, own in sorted(patterns, key=lambda p: (-len(p[1].split()), p[0])):
             out = f"replace({out}, {_text(own)}, {_text(f'<{name}>')})"
@@ -95,13 +97,13 @@ def license_scan() -> str:
 
     fits = lambda names: " OR ".join(f"regexp_matches({c}, {_text(''.join(f'<{n}>.*' for n in names))})" for c in ("over_ids", "line_ids"))
     named: dict[str, list[str]] = {}
-    for licence, names in RULES:
+    for licence, names in rules():
         named.setdefault(licence, []).append(fits(names))
     columns = ", ".join(f"CASE WHEN {' OR '.join(tests)} THEN {_text(name)} END" for name, tests in sorted(named.items()))
     drop = " OR ".join(f"(x = {_text(part)} AND list_contains(found, {_text(whole)}))" for part, whole in PART_OF.items())
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(lower(coalesce(text, '')), {_text(TRIGGER)}) AS hinted FROM documents),
-c AS (SELECT doc_id, hinted, regexp_replace(regexp_replace(t, '\n[ \t\r#*/;-]*\n', chr(1), 'g'), '([.!?;:])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g') AS cut FROM d),
+c AS (SELECT doc_id, hinted, regexp_replace(regexp_replace(regexp_replace(t, '(?i)spdx-license-identifier[ \t]*:', 'SPDX-License-Identifier ', 'g'), '\n[ \t\r#*/;-]*\n', chr(1), 'g'), '([.!?;:])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g') AS cut FROM d),
 i AS (SELECT doc_id, CASE WHEN hinted THEN {ids("cut")} ELSE '' END AS over_ids, CASE WHEN hinted THEN {ids("replace(cut, chr(10), chr(1))")} ELSE '' END AS line_ids FROM c),
 n AS (SELECT *, list_filter([{columns}], lambda x: x IS NOT NULL) AS found FROM i),
 l AS (SELECT *, list_sort(list_filter(found, lambda x: NOT ({drop}))) AS licences FROM n)
