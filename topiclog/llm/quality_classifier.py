@@ -162,11 +162,15 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: f
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text and y of at most `sample` documents with a label, by the lowest hashes of their ids; a document of several labels has their rounded mean."""
+    """text and y of at most `sample` documents with a label, by the lowest hashes of their ids; a document of several labels has their rounded mean.
+
+    Where several rows have one id, the text with the lowest hash stands for it.
+    """
     mean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     known = mean.select(F.col("doc_id").alias("__tl_id"), (F.col("y") >= 0.5).cast("int").alias("__tl_y"))
     chosen = known.orderBy(F.xxhash64("__tl_id"), "__tl_id").limit(sample)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__tl_id")).select("text", F.col("__tl_y").alias("y"))
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__tl_id")).groupBy("__tl_id", "__tl_y")
+    return rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", F.col("__tl_y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> Trees:
@@ -181,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -
             x = matrix(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), batch.column("y")], names=["x", "y"])
 
-    rows = labelled(docs, labels, sample).mapInArrow(run, "x array<float>, y int").limit(2 * sample).collect()
+    rows = labelled(docs, labels, sample).mapInArrow(run, "x array<float>, y int").collect()  # one for each id: `sample` at most
     x = np.array([r.x for r in rows], np.float32).reshape(-1, len(NAMES))
     y = np.array([r.y for r in rows], float)
     order = np.lexsort(np.column_stack([y, x]).T)  # the rows' order of arrival must not matter
