@@ -23,8 +23,8 @@ from topiclog.llm.common import slices
 from topiclog.llm.components import connected, cut
 
 BUDGET = 3
-#: Bits of a block in each round, for BUDGET + 1 blocks: after the last, 20 bits are free, so no run can exceed 2 ** 20.
-ROUNDS = (16, 12, 9, 7)
+#: Bits of a block in each round, for BUDGET + 1 blocks that don't overlap: after the last, 21 bits are free, so no run can exceed 2 ** 21.
+ROUNDS = (16, 12, 9, 6)
 #: Fingerprints that a task joins at once, and the most of one run before it is cut again.
 HELD, RUN = 1 << 18, 1 << 14
 
