@@ -324,9 +324,26 @@ def idle_group_gc(spark, sf_dir):
     return ack.collect_idle_groups(groups, ends, threshold=100).select("topic", "grp")
 
 
+@query(f"WITH {_L} SELECT topic, min(arrival) AS first_arrival FROM l GROUP BY topic")
+def produce_topics_in_order(spark, sf_dir):
+    return produce.topics_in_order(tables.produce_log(spark, sf_dir))
+
+
+@query(f"WITH {_A} SELECT topic, round(count(*) / ((max(ts_ms) - min(ts_ms)) / 1000.0::DOUBLE), 6) AS per_second FROM a GROUP BY topic HAVING max(ts_ms) > min(ts_ms)")
+def produce_rates(spark, sf_dir):
+    ends = _accepted(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("n"), ((F.max("ts_ms") - F.min("ts_ms")) / 1000.0).alias("elapsed"))
+    return ends.select("topic", F.round(metrics.rate(F.col("n"), F.col("elapsed")), 6).alias("per_second")).where("per_second is not null")
+
+
 # --- retention and pacing
 
 
+@query(f"WITH {_A} SELECT topic, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a JOIN ends USING (topic) WHERE greatest(last_ts - ts_ms, 0) <= 604800000 AND msg_offset > next_offset - 1 - 100 GROUP BY topic")
+def retention_both(spark, sf_dir):
+    left = retention.retained(_accepted(spark, sf_dir), most=100, age_ms=604_800_000)
+    return left.groupBy("topic").agg(F.count("*").alias("n"), F.min("msg_offset").alias("first_offset"), F.max("msg_offset").alias("last_offset"))
+
+
 @query(f"WITH {_A} SELECT topic, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a JOIN ends USING (topic) WHERE msg_offset > next_offset - 1 - 500 GROUP BY topic")
 def retention_count(spark, sf_dir):
     left = retention.retained(_accepted(spark, sf_dir), most=500)
@@ -586,14 +603,65 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_OP = """CASE WHEN arrival % 1009 = 1008 THEN 'delete_topic' WHEN arrival % 211 = 0 THEN 'set_retention' WHEN arrival % 401 = 7 THEN 'set_rate_limit' WHEN arrival % 307 = 5 THEN 'commit'
+  WHEN arrival % 13 = 3 THEN 'nack' WHEN arrival % 7 = 2 THEN 'ack' WHEN arrival % 5 = 1 THEN 'poll' ELSE 'produce' END"""
+# The state machine once more, as a recursion over each topic's commands. A topic's state is a row: what is retained is the range from lo to nxt, with priorities
+# and times by offset; keys and offs are what deduplication knows; gs are the groups with their leases.
+_LEASE, _EVENT = "STRUCT(id BIGINT, o BIGINT, until BIGINT)", "STRUCT(status VARCHAR, ord INTEGER, msg_offset BIGINT, priority INTEGER, lease_id BIGINT, deadline_ms BIGINT)"
+_GROUP = f"STRUCT(name VARCHAR, mark BIGINT, above BIGINT[], polls BIGINT, leases {_LEASE}[])"
+_NEW = f"struct_pack(name := grp, mark := lo1, above := CAST([] AS BIGINT[]), polls := CAST(0 AS BIGINT), leases := CAST([] AS {_LEASE}[]))"
+
+
+def _advanced(group: str, to: str) -> str:
+    """SQL for a group moved on to a watermark, never back, and over what is acked behind it."""
+    at = f"greatest({group}.mark, {to})"
+    end = f"list_filter(range({at}, {at} + len({group}.above) + 1), lambda z: NOT list_contains({group}.above, z))[1]"
+    return f"struct_pack(name := {group}.name, mark := {end}, above := list_filter({group}.above, lambda z: z >= {end}), polls := {group}.polls, leases := list_filter({group}.leases, lambda z: z.o >= {at}))"
+
+
+_REPLAY = f"""WITH RECURSIVE {_L}, o AS (SELECT *, {_OP} AS op FROM l),
+c AS (SELECT topic, arrival, op, ts_ms, CASE WHEN op IN ('poll', 'ack', 'nack', 'commit') THEN 'g' || arrival % 2 END AS grp, priority, producer_id || ':' || seq AS key, arrival % 12 AS wanted, arrival // 30 AS upto, arrival % 400 AS kept,
+  greatest(0, CAST(sum(CASE WHEN op = 'poll' THEN arrival % 12 ELSE 0 END) OVER (PARTITION BY topic ORDER BY arrival) AS BIGINT) - 24) AS lease0, row_number() OVER (PARTITION BY topic ORDER BY arrival) AS k FROM o),
+f AS (SELECT DISTINCT topic, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS arrival, '' AS op, CAST(NULL AS VARCHAR) AS grp, false AS there, CAST(0 AS BIGINT) AS lo, CAST(0 AS BIGINT) AS nxt, CAST(0 AS BIGINT) AS most, CAST(0 AS BIGINT) AS lease,
+    CAST([] AS INTEGER[]) AS prio, CAST([] AS VARCHAR[]) AS keys, CAST([] AS BIGINT[]) AS offs, CAST([] AS {_GROUP}[]) AS gs, CAST([] AS {_EVENT}[]) AS events FROM c
+  UNION ALL
+  SELECT topic, k, arrival, op, grp, there1, CASE WHEN op IN ('ack', 'commit') AND there1 AND len(gs3) > 0 THEN greatest(lo1, least(nxt1, list_min(list_transform(gs3, lambda g: g.mark)))) ELSE lo1 END, nxt1, most1, lease + len(chosen), prio1, keys1, offs1, gs3,
+    CASE WHEN op = 'produce' THEN [struct_pack(status := CASE WHEN fresh THEN 'accepted' ELSE 'duplicate' END, ord := CAST(0 AS INTEGER), msg_offset := CASE WHEN fresh THEN nxt ELSE offs[pos] END, priority := CAST(NULL AS INTEGER), lease_id := CAST(NULL AS BIGINT), deadline_ms := CAST(NULL AS BIGINT))]
+      WHEN op = 'poll' AND len(chosen) > 0 THEN list_transform(chosen, lambda x, i: struct_pack(status := 'delivered', ord := CAST(i - 1 AS INTEGER), msg_offset := x.o, priority := CAST(-x.p AS INTEGER), lease_id := lease + i - 1, deadline_ms := now + 36000000))
+      WHEN op IN ('ack', 'nack') AND there1 THEN list_transform(range(lease0, lease0 + 7), lambda x, i: struct_pack(status := CASE WHEN list_contains(list_transform(coalesce(own.leases, []), lambda h: h.id), x) THEN op ELSE 'miss' END, ord := CAST(i - 1 AS INTEGER),
+        msg_offset := list_filter(coalesce(own.leases, []), lambda h: h.id = x)[1].o, priority := CAST(NULL AS INTEGER), lease_id := x, deadline_ms := CAST(NULL AS BIGINT)))
+      ELSE [struct_pack(status := CASE op WHEN 'poll' THEN 'empty' ELSE 'ok' END, ord := CAST(0 AS INTEGER), msg_offset := CAST(NULL AS BIGINT), priority := CAST(NULL AS INTEGER), lease_id := CAST(NULL AS BIGINT), deadline_ms := CAST(NULL AS BIGINT))] END
+  FROM (SELECT *, CASE WHEN there1 AND op = 'poll' THEN list_append(list_filter(gs1, lambda g: g.name <> grp), struct_pack(name := grp, mark := own.mark, above := own.above, polls := own.polls + 1,
+        leases := list_concat(live, list_transform(chosen, lambda x, i: struct_pack(id := lease + i - 1, o := x.o, until := now + 36000000)))))
+      WHEN there1 AND op = 'commit' THEN list_append(list_filter(gs1, lambda g: g.name <> grp), {_advanced("own", "upto")})
+      WHEN there1 AND op IN ('ack', 'nack') THEN list_transform(gs2, lambda g: {_advanced("g", "g.mark")})
+      ELSE gs1 END AS gs3
+    FROM (SELECT *, list_sort(list_concat(urgent, list_transform(list_filter(free, lambda x: NOT list_contains(list_transform(urgent, lambda u: u.o), x))[:CASE WHEN wanted > len(urgent) THEN wanted - len(urgent) ELSE 0 END], lambda x: struct_pack(p := -prio1[x + 1], o := x)))) AS chosen,
+        list_transform(gs1, lambda g: CASE WHEN g.name <> grp THEN g ELSE struct_pack(name := g.name, mark := g.mark,
+          above := CASE WHEN op = 'ack' THEN list_concat(g.above, list_transform(list_filter(g.leases, lambda h: h.id >= lease0 AND h.id < lease0 + 7 AND h.o >= g.mark), lambda h: h.o)) ELSE g.above END, polls := g.polls, leases := list_filter(g.leases, lambda h: h.id < lease0 OR h.id >= lease0 + 7)) END) AS gs2
+      FROM (SELECT *, list_sort(list_transform(free, lambda x: struct_pack(p := -prio1[x + 1], o := x)))[:wanted - least(wanted, wanted // 4 + CASE WHEN (own.polls + 1) % 4 = 0 THEN 1 ELSE 0 END)] AS urgent
+        FROM (SELECT *, CASE WHEN op = 'poll' AND there1 AND wanted > 0 THEN list_filter(range(greatest(lo1, own.mark), nxt1), lambda x: NOT list_contains(own.above, x) AND NOT list_contains(list_transform(live, lambda h: h.o), x)) ELSE CAST([] AS BIGINT[]) END AS free
+          FROM (SELECT *, list_filter(own.leases, lambda h: h.until > now) AS live
+            FROM (SELECT *, coalesce(list_filter(gs1, lambda g: g.name = grp)[1], CASE WHEN op IN ('poll', 'commit') THEN {_NEW} END) AS own
+              FROM (SELECT *, CASE WHEN op = 'delete_topic' THEN [] WHEN lo1 > lo THEN list_transform(gs, lambda g: {_advanced("g", "lo1")}) ELSE gs END AS gs1
+                FROM (SELECT *, CASE WHEN op = 'delete_topic' THEN 0 WHEN fresh THEN greatest(lo, nxt1 - CASE WHEN most = 0 THEN 1000000 ELSE most END) ELSE lo END AS lo1,
+                    CASE WHEN op = 'delete_topic' THEN [] WHEN fresh THEN list_append(prio, p) ELSE prio END AS prio1, CASE WHEN op = 'delete_topic' THEN [] WHEN fresh THEN list_append(keys, key) ELSE keys END AS keys1, CASE WHEN op = 'delete_topic' THEN [] WHEN fresh THEN list_append(offs, nxt) ELSE offs END AS offs1
+                  FROM (SELECT *, op = 'produce' AND pos = 0 AS fresh, CASE WHEN op = 'delete_topic' THEN 0 WHEN op = 'produce' AND pos = 0 THEN nxt + 1 ELSE nxt END AS nxt1
+                    FROM (SELECT c.topic, c.k, c.arrival, c.op, c.grp, c.ts_ms AS now, c.priority AS p, c.key, c.wanted, c.upto, c.lease0, f.lo, f.nxt, f.most, f.lease, f.prio, f.keys, f.offs, f.gs,
+                        CASE WHEN c.op = 'delete_topic' THEN 0 WHEN c.op = 'set_retention' THEN c.kept ELSE f.most END AS most1, CASE c.op WHEN 'delete_topic' THEN false WHEN 'produce' THEN true WHEN 'set_retention' THEN true WHEN 'set_rate_limit' THEN true ELSE f.there END AS there1,
+                        CASE WHEN c.op = 'produce' THEN coalesce(list_position(f.keys, c.key), 0) ELSE 0 END AS pos
+                      FROM f JOIN c ON c.topic = f.topic AND c.k = f.k + 1) AS s0) AS s1) AS s2) AS s3) AS s4) AS s5) AS s6) AS s7) AS s8) AS s9),
+e AS (SELECT topic, arrival, op, grp, unnest(events) AS e FROM f WHERE k > 0)
+SELECT arrival AS cmd_seq, topic, op, grp, e.status AS status, e.ord AS ord, e.msg_offset AS msg_offset, e.priority AS priority, e.lease_id AS lease_id, e.deadline_ms AS deadline_ms FROM e"""
+
+
+@query(_REPLAY)
 def replay_delivery(spark, sf_dir):
     return replay.replay(command_log(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_L}, o AS (SELECT *, CASE WHEN arrival % 1009 = 1008 THEN 'delete_topic' WHEN arrival % 211 = 0 THEN 'set_retention' WHEN arrival % 401 = 7 THEN 'set_rate_limit' WHEN arrival % 307 = 5 THEN 'commit'
-  WHEN arrival % 13 = 3 THEN 'nack' WHEN arrival % 7 = 2 THEN 'ack' WHEN arrival % 5 = 1 THEN 'poll' ELSE 'produce' END AS op FROM l),
+    f"""WITH {_L}, o AS (SELECT *, {_OP} AS op FROM l),
 e AS (SELECT *, count(*) FILTER (op = 'delete_topic') OVER (PARTITION BY topic ORDER BY arrival) AS epoch FROM o),
 p AS (SELECT topic, epoch, producer_id, seq, arrival, min(arrival) OVER (PARTITION BY topic, epoch, producer_id, seq) AS first_arrival FROM e WHERE op = 'produce'),
 n AS (SELECT topic, arrival AS first_arrival, row_number() OVER (PARTITION BY topic, epoch ORDER BY arrival) - 1 AS msg_offset FROM p WHERE arrival = first_arrival)
@@ -604,15 +672,16 @@ def replay_produced(spark, sf_dir):
     return replay.replay(command_log(spark, sf_dir)).where("op = 'produce'").select("cmd_seq", "topic", "status", "msg_offset")
 
 
-@query()
+@query(f"SELECT * FROM ({_REPLAY}) WHERE cmd_seq > 600")
 def replay_after_snapshot(spark, sf_dir):
     """The events behind a snapshot that was made of two parts of the log."""
     commands = command_log(spark, sf_dir)
     first = replay.snapshot(commands, 200)
-    return replay.replay_after(commands, replay.current_snapshot(first.unionByName(replay.snapshot(commands, 600, first))))
+    newest = replay.current_snapshot(first.unionByName(replay.snapshot(commands, 600, first)))
+    return replay.replay_after(commands.where("cmd_seq > 600"), newest)
 
 
-@query()
+@query(f"SELECT cmd_seq, topic, grp, ord, msg_offset, CAST(row_number() OVER (ORDER BY cmd_seq, ord) - 1 AS BIGINT) AS global_lease_id FROM ({_REPLAY}) WHERE status = 'delivered'")
 def replay_global_leases(spark, sf_dir):
     return replay.with_global_leases(replay.replay(command_log(spark, sf_dir))).select("cmd_seq", "topic", "grp", "ord", "msg_offset", "global_lease_id")
 
