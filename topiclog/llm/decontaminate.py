@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topiclog.llm.common import TMP, let
+from topiclog.llm.common import TMP, let, lower_ascii
 from topiclog.llm.components import cut
 
-#: Everything that is no word character: ASCII without digits and lower-case letters.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Everything that is no word character: ASCII without digits and letters (words are then lower-cased).
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a document that are turned into windows at once.
 BLOCK = 4096
 #: Most bytes of the windows' hashes that are broadcast, and of the places that go back to their texts.
@@ -23,15 +23,19 @@ BROADCAST = 64 << 20
 
 
 def item_words(text: Column) -> Column:
-    """Words after A-Z are lower-cased; null has none."""
-    own = F.coalesce(text, F.lit(""))
-    ascii_only = F.translate(own, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lowered = F.when(own.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(F.lower(own))
-    return F.array_remove(F.split(lowered, BETWEEN), "")
+    """Words with A-Z lower-cased; null has none."""
+    found = F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+    return F.transform(found, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(lower_ascii(w)))
 
 
-def _hash(ws: Column, i: Column, size: int) -> Column:
-    return F.xxhash64(*(F.get(ws, i + k) for k in range(size)))
+def _hashes(ws: Column, count: Column, size: int) -> Column:
+    """The hashes of `count` windows of `size` words from the first word on, each made of the hashes of its pairs of words; null where count is not positive."""
+    at = F.sequence(F.lit(0), count - 1)
+    if size < 4:
+        return F.when(count > 0, F.transform(at, lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(size)))))
+    places = sorted({*range(0, size - 1, 2), size - 2})
+    pairs = F.transform(F.sequence(F.lit(0), count + size - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1)))
+    return F.when(count > 0, let(pairs, lambda p: F.transform(at, lambda i: F.xxhash64(*(F.get(p, i + j) for j in places)))))
 
 
 def item_windows(items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +45,8 @@ def item_windows(items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame
     at = F.sequence(F.lit(0), F.size("ws") - n)
 
     def of(k: int) -> Column:
-        return F.transform(at, lambda i: F.struct(F.array_join(F.slice("ws", i + 1, k), " ").alias("w"), _hash(F.col("ws"), i, k).alias("h")))
+        whole = F.transform(at, lambda i: F.array_join(F.slice("ws", i + 1, k), " "))
+        return F.zip_with(whole, _hashes(F.col("ws"), F.size("ws") - k + 1, k), lambda w, h: F.struct(w.alias("w"), h.alias("h")))
 
     rows = cut(own.select("item", n.alias("size"), F.inline(F.coalesce(*(F.when(n == k, of(k)) for k in range(size, 0, -1))))).distinct())
     return rows.select("w", "size", "h").distinct(), rows.where("item is not null").select("w", "size", "item").distinct()
@@ -62,8 +67,7 @@ def places(docs: DataFrame, windows: DataFrame, key: list[str], size: int = 10,
 
     def of(k: int) -> Column:
         count = F.least(F.lit(BLOCK), F.size(f"{TMP}ws") - k + 1)
-        at = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-        return F.struct(F.lit(k).alias(f"{TMP}size"), F.transform(at, lambda i: _hash(F.col(f"{TMP}ws"), i, k)).alias(f"{TMP}hs"))
+        return F.struct(F.lit(k).alias(f"{TMP}size"), _hashes(F.col(f"{TMP}ws"), count, k).alias(f"{TMP}hs"))
 
     each = blocks.select(*key, f"{TMP}from", F.inline(F.array(*map(of, sizes))))
     probed = each.select(*key, f"{TMP}from", f"{TMP}size", F.posexplode(f"{TMP}hs").alias(f"{TMP}at", f"{TMP}w")).join(hashes, [f"{TMP}w", f"{TMP}size"])
