@@ -86,3 +86,15 @@ def test_sql_mines_the_same(spark):
     want = own.execute(oracle.url_filter()).fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sum(r.rule is None and r.verdict == "block" for r in got) > 150
+
+
+def test_ties_and_very_long_urls(spark):
+    long = "http://a.example/" + "x" * 100_000 + "/" + "/".join(f"y{k}z" for k in range(5000))
+    rules = [("allow", "a.example/x"), ("block", "a.example/x"), ("block", "b.example/"), ("allow", "example/xxx"), ("allow", "b.example/")]
+    labels = spark.createDataFrame([(long, True), (None, False)] * 30, "url string, block boolean")
+    pages = spark.createDataFrame([(1, long), (2, "http://b.example/"), (3, "http://a.example/x"), (4, "http://c.example/q")], "page_id long, url string")
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, labels, rules=rules).collect()}
+    # of equally long rules the last by name, then by verdict
+    assert got == {1: ("example/xxx", "allow"), 2: ("b.example/", "block"), 3: ("a.example/x", "block"), 4: (None, "block")}
+    assert time.time() - start < 60

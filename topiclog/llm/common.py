@@ -51,7 +51,7 @@ class Memo(dict):
 
 
 #: Bytes of text that one slice of a batch holds at most (a longer text is a slice of its own).
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, named: DataFrame, key: str, hot: int = 100_000) -> DataFrame:
+    """rows with the columns of named, which has each key once and n, the number of rows with it (dropped from the result).
+
+    Keys of more than `hot` rows, of which there can be one in `hot` rows at most, are broadcast, so none of them comes together in one task.
+    """
+    often = named.where(F.col("n") > hot).drop("n")
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(named.where(F.col("n") <= hot).drop("n"), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's root; links has the columns a and b, of one integer type.
 

@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     Lines are compared without white space at their ends and with runs of white space as one space; blank lines take
     part in no window but go with the window around them. A null text stays null; a text of fewer
     lines than a window stays as it is. A document whose lines all lie in windows seen before is left with
-    an empty text. Null doc_ids come before all others; rows with one doc_id and one text are one document and
+    an empty text. Null doc_ids come before all others (ids are integers, or texts of integers); rows with one doc_id and one text are one document and
     get the same text. Columns of docs starting with "__tl_" are not supported; any other name is.
     """
     return marked(docs, size).drop(f"{TMP}n_lines", f"{TMP}n_removed")

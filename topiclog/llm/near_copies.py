@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topiclog.llm.common import slices
-from topiclog.llm.components import connected, cut
+from topiclog.llm.components import connected, cut, spread_join
 from topiclog.llm.simhash import fingerprint, near_links
 
 #: Words of a shingle, and the least similarity as a fraction.
@@ -188,11 +188,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     none. Equal sets become one before anything is compared. Rows with one doc_id are rows of their own; an empty table gives no rows.
     """
     prints, member = _components(docs)
-    placed = prints.join(member, "node")
-    # rows of a component are combined before they are dealt out, so one of any size is a row of each task
-    lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(lowest, "root").select("node", "component_id")
-    return prints.join(named, "node").select("doc_id", "component_id")
+    # rows of a set, then of a component, are combined before they are dealt out, so one of any size is a row of each task
+    own = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(member, "node")
+    lowest = own.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = cut(own.join(lowest, "root").select("node", "n", "component_id"))
+    return spread_join(prints, named, "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -203,10 +203,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     prints, member = _components(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    rows = prints.groupBy("doc_id", "h", "node").agg(F.count("*").alias("n")).join(member, "node")
-    first = rows.groupBy("root").agg(F.min(rank).alias("f"))
+    rows = prints.groupBy("doc_id", "h", "node").agg(F.count("*").alias("n"))
+    own = rows.groupBy("node").agg(F.min(rank).alias("f"), F.count("*").alias("n")).join(member, "node")
+    first = own.groupBy("root").agg(F.min("f").alias("first"))
+    named = cut(own.join(first, "root").select("node", "n", F.col("first").alias("f")))
     stays = (F.struct(*rank_of("f")) == F.struct(*rank_of(None))).alias("__tl_stays")
-    odd = rows.join(first, "root").select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("__tl_id"), F.col("doc_id").isNull().alias("__tl_none"), F.col("h").alias("__tl_h"), "n", stays)
+    odd = spread_join(rows.withColumnRenamed("n", "times"), named, "node").withColumnRenamed("times", "n").select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("__tl_id"), F.col("doc_id").isNull().alias("__tl_none"), F.col("h").alias("__tl_h"), "n", stays)
     # most rows stay and are alone: only those that go, or of which one of several stays, need be known
     odd = cut(odd.where("not __tl_stays or n > 1").drop("n"))
     key = ["__tl_id", "__tl_none", "__tl_h"]

@@ -196,7 +196,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted (1 from score 0.5 on) of every row.
 
     The score depends on the whole text alone. Null counts as empty; empty texts have a score too; a null doc_id stays
-    null and rows that repeat are scored each. Other columns are ignored. One pass, no shuffle.
+    null (ids are integers, or texts of integers) and rows that repeat are scored each. Other columns are ignored. One pass, no shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(trees)  # some thousand nodes
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclog.llm.common import slices
-from topiclog.llm.components import connected, cut
+from topiclog.llm.components import connected, cut, spread_join
 
 BUDGET = 3
 #: Bits of a block in each round, for BUDGET + 1 blocks that don't overlap: after the last, 21 bits are free, so no run can exceed 2 ** 21.
@@ -220,13 +220,13 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     Fingerprints over word shingles of `size` words link at BUDGET or fewer differing bits; component_id is
     the smallest doc_id reachable. Null and empty texts have fingerprint zero, linked like any other. A null doc_id
     stays null and never names a component unless all its rows have none. Rows with one doc_id are
-    separate rows with a fingerprint each. Other columns are ignored; an empty table gives no rows.
+    separate rows with a fingerprint each; ids are integers, or texts of integers. Other columns are ignored; an empty table gives no rows.
     Equal fingerprints become one before anything is joined, so groups of copies of any size cost one row.
     """
     prints = cut(fingerprints(docs, size))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = connected(near_links(distinct.select("fp")))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(member.join(lowest, "root").select("fp", "n", "component_id"))
+    return spread_join(prints, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -136,7 +136,7 @@ def _fitting(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def matched(pages: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """The distinct keys of the rows of pages (key columns and items) that fit at least one rule, by the inverted index."""
+    """The distinct keys of the rows of pages (key columns and items) that fit at least one rule, by the inverted index. Null items are none."""
     return _fitting(pages, rules.select(F.col("antecedent").alias("set"), "alike")).select(*key).distinct()
 
 
