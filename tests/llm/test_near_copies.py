@@ -64,3 +64,23 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, "").collect()}
     assert kept == set(brute(rows))
+
+
+@pytest.mark.parametrize(("few", "block"), [(0, 16), (0, 1024), (8, 40)])
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch, few, block):
+    """One group of copies around the similarity that links them, and texts of other sizes with them."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rnd = random.Random(few + block)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    base, rows = [word() for _ in range(1300)], []
+    for _ in range(70):
+        copy = list(base[: rnd.choice([120, 120, 120, 1300])])
+        for i in rnd.sample(range(len(copy)), int(len(copy) * rnd.choice([0.01, 0.02, 0.03, 0.05]))):
+            copy[i] = word()
+        rows.append(" ".join(copy))
+    rows += texts()[:60]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = dict(near_copies.near_copies(docs).collect())
+    want = brute(rows)
+    assert [got[i] for i in range(len(rows))] == want and len(set(want)) > 5
