@@ -120,3 +120,30 @@ def test_who_has_something_to_get(spark, gaps):
 def test_rates_and_purge_marks(spark):
     row = spark.range(1).select(metrics.rate(F.lit(10), F.lit(4.0)).alias("r"), metrics.rate(F.lit(10), F.lit(0.0)).alias("none"), stored_log.purge_mark(F.lit(5), F.lit(3)).alias("m")).first()
     assert (row.r, row.none, row.m) == (2.5, None, 5)
+
+
+@pytest.mark.parametrize(("most", "age"), [(0, 50), (7, 50), (7, 0), (0, 0)])
+def test_retention_whatever_the_times(spark, most, age):
+    from topiclog.operators import retention
+    from topiclog.operators.kernel import Topic
+
+    rnd = random.Random(most + age)
+    rows, want = [], set()
+    for t in range(12):
+        topic, now = Topic(), 0
+        topic.limits = (most, age)
+        for o in range(rnd.randint(1, 40)):
+            now += rnd.randint(0, 15) if t % 3 else rnd.randint(-60, 70)
+            topic.produce("", 0, 0, now)
+            rows.append((f"t{t}", o, now))
+        want |= {(f"t{t}", o) for o in topic.messages}
+    got = retention.retained(spark.createDataFrame(rows, "topic string, msg_offset long, ts_ms long"), most, age)
+    assert {(r.topic, r.msg_offset) for r in got.collect()} == want
+    assert got.columns == ["topic", "msg_offset", "ts_ms"]
+
+
+def test_chart_scale(spark):
+    rows = spark.createDataFrame([("a", 50.0), ("b", 1000.0), ("c", 2_500_000.0), ("d", 999.5)], "name string, value double")
+    got = {r.name: (r.axis_max, round(r.share, 6), r.label) for r in metrics.chart(rows).collect()}
+    assert got == {"a": (1e7, 0.0, "50"), "b": (1e7, 0.2, "1,000"), "c": (1e7, 0.879588, "2.5M"), "d": (1e7, 0.199957, "1,000")}
+    assert metrics.chart(rows.where("value < 60")).first().axis_max == 1000.0

@@ -50,6 +50,12 @@ def lease(deliveries: DataFrame, order: Column, now: Column, visibility_ms: int,
     return numbered.withColumn("lease_id", F.col("lease_id") + first_lease).withColumn("deadline_ms", deadline(now, F.lit(visibility_ms).cast("long")))
 
 
+def fetch(deliveries: DataFrame, messages: DataFrame) -> DataFrame:
+    """Deliveries with what their messages (topic, msg_offset, ...) have besides: payload, content type, time. Deliveries of messages that are gone are left out."""
+    more = [c for c in messages.columns if c not in deliveries.columns]
+    return deliveries.join(messages.select("topic", "msg_offset", *more), ["topic", "msg_offset"])
+
+
 def lease_status(leases: DataFrame, now: Column) -> DataFrame:
     """Rows with acked, deadline_ms -> status: acked, expired, in_flight, or ready (no lease)."""
     status = F.when(F.col("acked"), "acked").when(F.col("deadline_ms").isNull(), "ready").when(expired(F.col("deadline_ms"), now), "expired").otherwise("in_flight")
@@ -93,4 +99,4 @@ def pushes(deliveries: DataFrame, refreshes: int = 2) -> DataFrame:
     return deliveries.withColumn("pushed", F.col("delivery_no") % (refreshes + 1) == 0)
 
 
-__all__ = ["candidates", "fan_out", "fifo_polls", "has_deliverable", "lease", "lease_status", "pushes", "reserved", "select_poll"]
+__all__ = ["candidates", "fan_out", "fetch", "fifo_polls", "has_deliverable", "lease", "lease_status", "pushes", "reserved", "select_poll"]

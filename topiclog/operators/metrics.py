@@ -72,3 +72,17 @@ def nearest_rank(rows: DataFrame, key: str, value: str, shares: dict[str, float]
 
 def rate(n: Column, elapsed_s: Column) -> Column:
     return F.when(elapsed_s > 0, n / elapsed_s)
+
+
+#: Where a chart's scale begins, and the least at which it ends.
+AXIS_MIN, AXIS_END = 100.0, 1000.0
+
+
+def chart(rows: DataFrame, value: str = "value") -> DataFrame:
+    """rows with axis_max (the power of ten that no value exceeds), share (how far along a logarithmic axis the value's bar goes, 0 to 1) and label (the value as text)."""
+    of = F.col(value).cast("double")
+    top = rows.agg(F.greatest(F.lit(AXIS_END), F.pow(F.lit(10.0), F.ceil(F.log10(F.greatest(F.max(of), F.lit(AXIS_MIN)))))).alias("axis_max"))
+    at = lambda x: F.log10(x) - F.log10(F.lit(AXIS_MIN))
+    share = F.least(F.lit(1.0), at(F.greatest(of, F.lit(AXIS_MIN))) / at(F.col("axis_max")))
+    label = F.when(of >= 1e6, F.format_string("%.1fM", of / 1e6)).otherwise(F.format_number(F.round(of), 0))
+    return rows.withColumn("axis_max", top.scalar()).withColumns({"share": share, "label": label})

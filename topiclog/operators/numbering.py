@@ -46,15 +46,17 @@ def bucketed(rows: DataFrame, order: str, rows_per_bucket: int = 1_000_000) -> D
     return rows.withColumn("__bucket", place.cast("long"))
 
 
-def number(rows: DataFrame, group: list[str], order: str, name: str, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def number(rows: DataFrame, group: list[str], order: str, name: str, rows_per_bucket: int = 1_000_000, at_most: int | None = None) -> DataFrame:
     """rows with `name`: 0, 1, 2 ... inside each group by the integer column `order` (unique in its group, not null).
 
+    at_most is how many rows there can be, if the caller knows: where that is one bucket's worth, nothing needs counting.
+
     The range of `order` is cut into buckets of about rows_per_bucket rows. A row's number is
     the rows of its group in earlier buckets (sums of a small table of counts) plus its place in its own bucket. So a
     group that holds most of the rows is spread over all its buckets. The window over the table of counts has one row
     for each group and bucket.
     """
-    cut = bucketed(rows, order, rows_per_bucket)
+    cut = None if at_most is not None and at_most <= rows_per_bucket else bucketed(rows, order, rows_per_bucket)
     if cut is None:
         place = Window.partitionBy(*group).orderBy(order) if group else Window.orderBy(order)
         return rows.withColumn(name, (F.row_number().over(place) - 1).cast("long"))

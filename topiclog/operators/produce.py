@@ -52,9 +52,10 @@ def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int = DEDUP_
     """The produce commands that append a message, with msg_offset: the first of each (topic, producer_id, seq), and all without a producer.
 
     A topic remembers its last `cap` accepted keys. While it has no more distinct ones, that is a minimum, combined before the shuffle; topics
-    with more, found by counting, go through their commands in order, one task each.
+    with more, found by counting, go through their commands in order, one task each. A log of no more than `cap` rows has none.
     """
-    crowded = _crowded(log, cap)
+    size = log.count()
+    crowded = _crowded(log, cap) if size > cap else None
     calm = log if crowded is None else log.join(crowded, "topic", "left_anti")
     first = _keyed(calm).groupBy(*KEY).agg(F.min("arrival").alias("arrival"))
     kept = calm.join(first, [*KEY, "arrival"], "left_semi")
@@ -63,20 +64,26 @@ def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int = DEDUP_
         fresh = _firsts(own, cap).where("arrival = first_arrival").select("topic", "arrival")
         kept = kept.unionByName(_keyed(own).join(fresh, ["topic", "arrival"], "left_semi").select(*kept.columns))
     kept = kept.select(*log.columns).unionByName(log.where("producer_id = '' or producer_id is null"))
-    return number(kept, ["topic"], "arrival", "msg_offset", rows_per_bucket)
+    return number(kept, ["topic"], "arrival", "msg_offset", rows_per_bucket, size)
 
 
-def offsets(log: DataFrame, cap: int = DEDUP_CAPACITY) -> DataFrame:
+def offsets(log: DataFrame, cap: int = DEDUP_CAPACITY, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Every command with the offset that it is answered with; a duplicate gets the original's."""
-    kept = accepted(log, cap=cap).select(*KEY, F.col("arrival").alias("first_arrival"), "msg_offset")
-    crowded = _crowded(log, cap)
-    calm = log if crowded is None else log.join(crowded, "topic", "left_anti").select(*log.columns)
-    own = kept.where("producer_id <> ''")
-    keyed = _keyed(calm).join(own if crowded is None else own.join(crowded, "topic", "left_anti"), KEY)
-    if crowded is not None:
-        again = _firsts(log.join(crowded, "topic", "left_semi"), cap)
-        named = _keyed(log).join(again, ["topic", "arrival"]).join(kept.select("topic", "first_arrival", "msg_offset"), ["topic", "first_arrival"])
-        keyed = keyed.unionByName(named.select(*keyed.columns))
+    size = log.count()
+    crowded = _crowded(log, cap) if size > cap else None
+    if crowded is None:  # the first arrivals alone are numbered; no command is dealt out for that
+        first = log.groupBy(*KEY, F.when(F.coalesce("producer_id", F.lit("")) == "", F.col("arrival")).alias("__own")).agg(F.min("arrival").alias("first_arrival"))
+        known = number(first, ["topic"], "first_arrival", "msg_offset", rows_per_bucket, size).select("topic", "msg_offset", "first_arrival", *(F.col(c).alias(f"__{c}") for c in KEY[1:]), "__own")
+        free = F.when(F.coalesce("producer_id", F.lit("")) == "", F.col("arrival"))
+        same = (log["topic"] == known["topic"]) & log["producer_id"].eqNullSafe(known["__producer_id"]) & log["seq"].eqNullSafe(known["__seq"]) & free.eqNullSafe(known["__own"])
+        joined = log.join(known, same).drop(known["topic"], "__producer_id", "__seq", "__own")
+        return joined.withColumn("duplicate", F.col("arrival") != F.col("first_arrival")).drop("first_arrival")
+    kept = accepted(log, rows_per_bucket, cap).select(*KEY, F.col("arrival").alias("first_arrival"), "msg_offset")
+    calm = log.join(crowded, "topic", "left_anti").select(*log.columns)
+    keyed = _keyed(calm).join(kept.where("producer_id <> ''").join(crowded, "topic", "left_anti"), KEY)
+    again = _firsts(log.join(crowded, "topic", "left_semi"), cap)
+    named = _keyed(log).join(again, ["topic", "arrival"]).join(kept.select("topic", "first_arrival", "msg_offset"), ["topic", "first_arrival"])
+    keyed = keyed.unionByName(named.select(*keyed.columns))
     free = log.where("producer_id = '' or producer_id is null").join(kept.select("topic", "first_arrival", "msg_offset"), (log["arrival"] == kept["first_arrival"]) & (log["topic"] == kept["topic"])).drop(kept["topic"])
     return keyed.unionByName(free.select(*keyed.columns)).withColumn("duplicate", F.col("arrival") != F.col("first_arrival")).drop("first_arrival")
 

@@ -185,6 +185,13 @@ def poll_leases(spark, sf_dir):
     return _leases(spark, sf_dir).select("topic", "msg_offset", "ord", "lease_id", "deadline_ms")
 
 
+@query(f"WITH {_LEASES} SELECT topic, msg_offset, ord, lease_id, a.priority, a.payload, a.ts_ms FROM leases JOIN a USING (topic, msg_offset)")
+def poll_responses(spark, sf_dir):
+    """What a poll's reply carries: leases with their messages, looked up by offset."""
+    sent = _leases(spark, sf_dir).select("topic", "msg_offset", "ord", "lease_id")
+    return deliver.fetch(sent, _accepted(spark, sf_dir).select("topic", "msg_offset", "priority", "payload", "ts_ms"))
+
+
 @query(f"WITH {_A}, g AS (SELECT * FROM a CROSS JOIN (VALUES ('g0', 0), ('g1', 10), ('g2', 25)) AS v(grp, mark) WHERE msg_offset >= mark){_poll_sql(8, 0, 'g', 'topic, grp')} SELECT * FROM p")
 def poll_group_fanout(spark, sf_dir):
     a = _accepted(spark, sf_dir)
@@ -511,6 +518,19 @@ def metrics_merge(spark, sf_dir):
     return metrics.merge_json(stored, _gauges(spark, sf_dir), "n")
 
 
+@query(
+    f"""WITH {_L}, v AS (SELECT topic AS name, sum(arrival * length(topic)) * 1.0::DOUBLE AS value FROM l GROUP BY topic UNION ALL SELECT 'small', 7.4::DOUBLE UNION ALL SELECT 'middle', 12345.6::DOUBLE),
+m AS (SELECT greatest(1000.0::DOUBLE, pow(10, ceil(log10(max(value))))) AS axis_max FROM v)
+SELECT name, value, axis_max, round(least(1.0::DOUBLE, (log10(greatest(value, 100.0::DOUBLE)) - 2) / (log10(axis_max) - 2)), 6) AS share,
+  CASE WHEN value >= 1e6 THEN printf('%.1fM', value / 1e6) ELSE format('{{:,}}', CAST(round(value) AS BIGINT)) END AS label FROM v, m"""
+)
+def metrics_chart(spark, sf_dir):
+    log = tables.produce_log(spark, sf_dir)
+    values = log.groupBy(F.col("topic").alias("name")).agg(F.sum(F.col("arrival") * F.length("topic")).cast("double").alias("value"))
+    more = spark.createDataFrame([("small", 7.4), ("middle", 12345.6)], "name string, value double")
+    return metrics.chart(values.unionByName(more)).withColumn("share", F.round("share", 6))
+
+
 @query(
     f"""WITH {_L}, o AS (SELECT CASE WHEN arrival % 1009 = 1008 THEN 'delete_topic' WHEN arrival % 211 = 0 THEN 'set_retention' WHEN arrival % 401 = 7 THEN 'set_rate_limit' WHEN arrival % 307 = 5 THEN 'commit'
   WHEN arrival % 13 = 3 THEN 'nack' WHEN arrival % 7 = 2 THEN 'ack' WHEN arrival % 5 = 1 THEN 'poll' ELSE 'produce' END AS op, arrival FROM l)
