@@ -137,7 +137,7 @@ def test_retention_whatever_the_times(spark, most, age):
             topic.produce("", 0, 0, now)
             rows.append((f"t{t}", o, now))
         want |= {(f"t{t}", o) for o in topic.messages}
-    got = retention.retained(spark.createDataFrame(rows, "topic string, msg_offset long, ts_ms long"), most, age)
+    got = retention.kept(spark.createDataFrame(rows, "topic string, msg_offset long, ts_ms long"), most, age)
     assert {(r.topic, r.msg_offset) for r in got.collect()} == want
     assert got.columns == ["topic", "msg_offset", "ts_ms"]
 

@@ -10,21 +10,7 @@ from topiclog.operators.replay import purge_fold
 
 
 def retained(messages: DataFrame, most: int = 0, age_ms: int = 0) -> DataFrame:
-    """What is left after the last accepted produce; 0 switches a limit off.
-
-    Where ts_ms never falls with the offset that is a comparison with the last message. Age stops at the first young message, so topics whose times
-    fall somewhere (found by the gaps between neighbours, a job of its own where there is a limit of age) go through their messages in order.
-    """
-    if age_ms:
-        falling = inter_arrival(messages).where("gap_ms < 0").select("topic").distinct()
-        if not falling.isEmpty():
-            ends = purge_fold(messages.join(falling, "topic", "left_semi"), most, age_ms).groupBy("topic").agg(F.max_by("first_retained", "msg_offset").alias("__first"))
-            odd = messages.join(ends, "topic").where("msg_offset >= __first").drop("__first")
-            return _retained(messages.join(falling, "topic", "left_anti"), most, age_ms).select(*messages.columns).unionByName(odd.select(*messages.columns))
-    return _retained(messages, most, age_ms)
-
-
-def _retained(messages: DataFrame, most: int, age_ms: int) -> DataFrame:
+    """What is left after the last accepted produce, where ts_ms never falls with the offset (else use kept); 0 switches a limit off."""
     last = messages.groupBy("topic").agg(F.max(F.struct("msg_offset", "ts_ms")).alias("__last"))
     joined = messages.join(last, "topic")
     keep = F.lit(True)
@@ -35,6 +21,21 @@ def _retained(messages: DataFrame, most: int, age_ms: int) -> DataFrame:
     return joined.where(keep).drop("__last")
 
 
+def kept(messages: DataFrame, most: int = 0, age_ms: int = 0) -> DataFrame:
+    """What is left after the last accepted produce, whatever the times.
+
+    Age stops at the first young message, so topics whose times fall somewhere (found by the gaps between neighbours, a job of its own where there
+    is a limit of age) go through their messages in order; for the others it is a comparison with the last message.
+    """
+    if age_ms:
+        falling = inter_arrival(messages).where("gap_ms < 0").select("topic").distinct()
+        if not falling.isEmpty():
+            ends = purge_fold(messages.join(falling, "topic", "left_semi"), most, age_ms).groupBy("topic").agg(F.max_by("first_retained", "msg_offset").alias("__first"))
+            odd = messages.join(ends, "topic").where("msg_offset >= __first").drop("__first")
+            return retained(messages.join(falling, "topic", "left_anti"), most, age_ms).select(*messages.columns).unionByName(odd.select(*messages.columns))
+    return retained(messages, most, age_ms).select(*messages.columns)
+
+
 def config_in_force(produces: DataFrame, configs: DataFrame, values: list[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Produces (topic, cmd_seq) with the last configuration (topic, cmd_seq, values) before them; null where there is none.
 

@@ -347,7 +347,7 @@ def produce_rates(spark, sf_dir):
 
 @query(f"WITH {_A} SELECT topic, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a JOIN ends USING (topic) WHERE greatest(last_ts - ts_ms, 0) <= 604800000 AND msg_offset > next_offset - 1 - 100 GROUP BY topic")
 def retention_both(spark, sf_dir):
-    left = retention.retained(_accepted(spark, sf_dir), most=100, age_ms=604_800_000)
+    left = retention.kept(_accepted(spark, sf_dir), most=100, age_ms=604_800_000)
     return left.groupBy("topic").agg(F.count("*").alias("n"), F.min("msg_offset").alias("first_offset"), F.max("msg_offset").alias("last_offset"))
 
 
@@ -359,7 +359,7 @@ def retention_count(spark, sf_dir):
 
 @query(f"WITH {_A} SELECT topic, count(*) AS n, min(msg_offset) AS first_offset, max(msg_offset) AS last_offset FROM a JOIN ends USING (topic) WHERE greatest(last_ts - ts_ms, 0) <= 604800000 GROUP BY topic")
 def retention_age(spark, sf_dir):
-    left = retention.retained(_accepted(spark, sf_dir), age_ms=604_800_000)
+    left = retention.kept(_accepted(spark, sf_dir), age_ms=604_800_000)
     return left.groupBy("topic").agg(F.count("*").alias("n"), F.min("msg_offset").alias("first_offset"), F.max("msg_offset").alias("last_offset"))
 
 
