@@ -66,12 +66,10 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept == set(brute(rows))
 
 
-@pytest.mark.parametrize(("few", "block"), [(0, 16), (0, 1024), (8, 40)])
-def test_large_groups_are_compared_in_blocks(spark, monkeypatch, few, block):
-    """One group of copies around the similarity that links them, and texts of other sizes with them."""
-    monkeypatch.setattr(near_copies, "FEW", few)
-    monkeypatch.setattr(near_copies, "BLOCK", block)
-    rnd = random.Random(few + block)
+@pytest.mark.parametrize("seed", [16, 48])
+def test_groups_around_the_similarity_that_links(spark, seed):
+    """One group of copies with few and with too many changes, and texts of other sizes with them."""
+    rnd = random.Random(seed)
     word = lambda: f"w{rnd.randrange(5000)}"
     base, rows = [word() for _ in range(1300)], []
     for _ in range(70):

@@ -6,7 +6,9 @@ are similar enough share a shingle among the first n - ceil(SIMILAR * n) + 1 of
 their hashes, and those that a sample finds frequent come last: that makes groups small and decides nothing. Each
 candidate pair is held against bitmaps of the sets, as long as the sets, which bound what they can share, and if that leaves it possible
 against the whole sets, made anew from the texts. First each set is compared with its group's first by SimHash; then, where a shingle's sets are not all connected,
-with the neighbour by size that it shares most with; then all pairs that are not connected yet are: listed in small groups, and in large ones compared by their bitmaps block by block, so that no pair is a row before it is likely.
+with the neighbour by size that it shares most with, and with a hub: the set of most shingles that others have too, which a copy of few changes is. Then all
+pairs that are not connected yet are compared, so a large group of near copies costs about as many pairs as it has members; copies with too many changes
+to be linked at all are the exception: that no pair of them is similar is only known when each was looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,6 @@ from topiclog.llm.simhash import fingerprint, near_links
 SIZE, SIMILAR = 5, (4, 5)
 #: Least bits of a set's bitmap; a larger set has a power of two not below its size. Each shingle turns one over, so two bitmaps differ in no more bits than the sets in shingles.
 BITS = 1024
-#: Sets of a group whose pairs are listed; larger groups are compared in blocks of some BLOCK sets.
-FEW, BLOCK = 32, 1024
 #: Most hashes of wanted texts, or keys of rows, that are broadcast (8 and 25 bytes each); beyond that the same join is a shuffle.
 BROADCAST = 1 << 21
 
@@ -93,7 +92,7 @@ def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 8, most: i
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the set), fp (fingerprint), n, bits and prefix of every row."""
+    """doc_id, h (hash of the text), node (hash of the set), fp (fingerprint), n, common (how many of the set are frequent), bits and prefix of every row."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +101,10 @@ def _prints(docs: DataFrame) -> DataFrame:
             own = [shingles(x) for x in texts]
             node = np.array([_node(x) for x in own], np.uint64).view(np.int64)
             fp = np.array([fingerprint(x, SIZE) for x in texts], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array(fp), pa.array([len(x) for x in own], pa.int32()), _lists([bitmap(x) for x in own]), _lists([prefix(x, frequent.value) for x in own])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "fp", "n", "bits", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(node), pa.array(fp), pa.array([len(x) for x in own], pa.int32()), pa.array([int(np.isin(x, frequent.value, assume_unique=True).sum()) for x in own], pa.int32()), _lists([bitmap(x) for x in own]), _lists([prefix(x, frequent.value) for x in own])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "fp", "n", "common", "bits", "prefix"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) h", "text").mapInArrow(run, "doc_id long, h long, node long, fp long, n int, bits array<long>, prefix array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) h", "text").mapInArrow(run, "doc_id long, h long, node long, fp long, n int, common int, bits array<long>, prefix array<long>")
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -152,78 +151,35 @@ def _alike(distinct: DataFrame) -> DataFrame:
     return pairs.where(F.col("node") != F.col("a")).where(_sizes_fit("n", "a_n")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
 
 
-def _near_in_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of sets of two blocks, of different components, that sizes and bitmaps leave possible."""
-    most, of = SIMILAR
-    first, second = int(frame["bi"].iloc[0]), int(frame["bj"].iloc[0])
-    sides = []
-    for own in (first, second):
-        rows = frame[frame["own"] == own]
-        sides.append([(k, r["node"].to_numpy(), r["n"].to_numpy(np.int64), r["part"].to_numpy(), np.stack(r["bits"].to_list()).view(np.uint64)) for k, r in rows.groupby(rows["bits"].map(len))])
-    found = []
-    for la, node_a, n_a, part_a, bits_a in sides[0]:
-        for lb, node_b, n_b, part_b, bits_b in sides[1]:
-            least = min(la, lb)
-            x, y = (np.bitwise_xor.reduce(m.reshape(len(m), -1, least), axis=1) for m in (bits_a, bits_b))
-            step = max(1, (1 << 22) // (len(y) * least))  # 32 MB of bitmaps at once
-            for k in range(0, len(x), step):
-                part = slice(k, k + step)
-                apart = np.bitwise_count(x[part, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
-                total = n_a[part, None] + n_b[None, :]
-                near = ((most + of) * (total - apart) >= 2 * most * total) & (part_a[part, None] != part_b[None, :])
-                near &= of * np.minimum(n_a[part, None], n_b[None, :]) >= most * np.maximum(n_a[part, None], n_b[None, :])
-                if first == second:
-                    near &= node_a[part, None] < node_b[None, :]
-                i, j = np.nonzero(near)
-                found.append(np.stack([node_a[part][i], node_b[j]]))
-    pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-    return pd.DataFrame({"a": pairs.min(0), "b": pairs.max(0)})
-
-
-def _dense(large: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Possible pairs (a, b) of the sets of large groups (g, node, n, part).
-
-    Such groups are mostly the same sets again and again, copies with too many changes to be linked. Groups that share a set are one cluster,
-    whose bitmaps are compared block by block: a task gets two blocks of some BLOCK sets and gives the few pairs that remain possible, so no pair is a row before.
-    """
-    star = large.groupBy("g").agg(F.min("node").alias("a"))
-    roots = connected(large.join(star, "g").select("a", F.col("node").alias("b")).distinct())
-    member = cut(large.select("node", "n", "part").distinct().join(roots, "node", "left").select("node", "n", "part", F.coalesce("root", "node").alias("cluster")))
-    blocks = member.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(distinct.select("node", "bits"), "node")
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("cluster", F.least("own", "k").alias("bi"), F.greatest("own", "k").alias("bj"), "own", "node", "n", "part", "bits")
-    return dealt.groupBy("cluster", "bi", "bj").applyInPandas(_near_in_blocks, "a long, b long")
-
-
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, h and node of every row, and node with its component's root."""
     prints = cut(_prints(docs))
-    distinct = cut(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    distinct = cut(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("common").alias("common"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
     alike = cut(_alike(distinct))
     first_links = cut(similar(alike, distinct, docs))
     roots = connected(first_links)
     # a shingle whose sets are all connected has nothing more to find; the others' sets meet their neighbours by size
     order, whole = Window.partitionBy("g").orderBy("n", "node"), Window.partitionBy("g")
-    around = {"prev": F.lag("node").over(order), "prev_n": F.lag("n").over(order), "prev_part": F.lag("part").over(order), "low": F.min("part").over(whole), "high": F.max("part").over(whole)}
-    rows = distinct.select("node", "n", "prefix").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("part"), F.explode("prefix").alias("g"))
+    around = {"prev": F.lag("node").over(order), "prev_n": F.lag("n").over(order), "prev_part": F.lag("part").over(order), "low": F.min("part").over(whole), "high": F.max("part").over(whole), "hub": F.max(F.struct("common", "node", "n", "part")).over(whole)}
+    rows = distinct.select("node", "n", "common", "prefix").join(roots, "node", "left").select("node", "n", "common", F.coalesce("root", "node").alias("part"), F.explode("prefix").alias("g"))
     groups = cut(rows.withColumns(around).where("low <> high").drop("low", "high"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    shared = groups.where((F.col("prev_part") != F.col("part")) & _sizes_fit("prev_n", "n")).groupBy("node", "prev").count()
-    near = shared.groupBy("node").agg(F.max_by("prev", F.struct("count", "prev")).alias("prev")).select(*pair("prev", "node"))
+    # a copy with few changes has many shingles that others have too: it is the likeliest to be near to the rest of its group
+    ways = F.array(F.struct(F.lit(0).alias("way"), F.col("prev").alias("to"), F.col("prev_n").alias("to_n"), F.col("prev_part").alias("to_part")), F.struct(F.lit(1).alias("way"), F.col("hub.node").alias("to"), F.col("hub.n").alias("to_n"), F.col("hub.part").alias("to_part")))
+    shared = groups.select("node", "n", "part", F.inline(ways)).where((F.col("to_part") != F.col("part")) & _sizes_fit("to_n", "n")).groupBy("node", "way", "to").count()
+    near = shared.groupBy("node", "way").agg(F.max_by("to", F.struct("count", "to")).alias("to")).select(*pair("to", "node"))
     beside = cut(near.distinct().join(alike, ["a", "b"], "left_anti"))
     links = first_links.unionByName(cut(similar(beside, distinct, docs)))
     roots = connected(links)
     beside = beside.unionByName(alike)
-    # what is not connected yet: in each small group all pairs of different components, none of which lies in the largest whole
+    # what is not connected yet: in each group all pairs of different components, none of which lies in the largest whole
     placed = groups.select("g", "node", "n").join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("part"))
-    size = placed.groupBy("g").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("g", "size")
+    size = placed.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("g")
     placed = cut(placed.join(size, "g"))
-    few = placed.where(F.col("size") <= FEW)
-    main = few.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    outside = few.join(main, "g").where("part <> main").select("g", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"), "main")
+    main = placed.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    outside = placed.join(main, "g").where("part <> main").select("g", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"), "main")
     across = (F.col("part") != F.col("other_part")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("other"))) & _sizes_fit("n", "other_n")
-    rest = outside.join(few, "g").where(across).select(*pair("node", "other"))
-    rest = rest.unionByName(_dense(placed.where(F.col("size") > FEW), distinct)).distinct().join(beside, ["a", "b"], "left_anti")
+    rest = outside.join(placed, "g").where(across).select(*pair("node", "other")).distinct().join(beside, ["a", "b"], "left_anti")
     more = cut(similar(rest, distinct, docs))
     if not more.isEmpty():
         roots = connected(links.unionByName(more))
