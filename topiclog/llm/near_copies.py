@@ -29,6 +29,8 @@ from topiclog.llm.simhash import fingerprint, near_links
 SIZE, SIMILAR = 5, (4, 5)
 #: Least bits of a set's bitmap; a larger set has a power of two not below its size. Each shingle turns one over, so two bitmaps differ in no more bits than the sets in shingles.
 BITS = 1024
+#: Numbers of the fold of a bitmap that goes with every shingle where pairs are listed.
+FOLD = 4
 #: Most hashes of wanted texts, or keys of rows, that are broadcast (8 and 25 bytes each); beyond that the same join is a shuffle.
 BROADCAST = 1 << 21
 
@@ -175,10 +177,16 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what is not connected yet: in each group all pairs of different components, none of which lies in the largest whole
     placed = groups.select("g", "node", "n").join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("part"))
     size = placed.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("g")
-    placed = cut(placed.join(size, "g"))
+    # a fold of the bitmaps that is small enough to ride along with each shingle already rules most pairs out
+    names = [f"s{k}" for k in range(FOLD)]
+    small = distinct.select("node", _folded(F.col("bits"), F.lit(FOLD)).alias("s")).select("node", *(F.get("s", F.lit(k)).alias(c) for k, c in enumerate(names)))
+    placed = cut(placed.join(size, "g").join(small, "node"))
     main = placed.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    outside = placed.join(main, "g").where("part <> main").select("g", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"), "main")
-    across = (F.col("part") != F.col("other_part")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("other"))) & _sizes_fit("n", "other_n")
+    outside = placed.join(main, "g").where("part <> main").select("g", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"), "main", *(F.col(c).alias(f"other_{c}") for c in names))
+    most, of = SIMILAR
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in names), F.lit(0))
+    total = F.col("n") + F.col("other_n")
+    across = (F.col("part") != F.col("other_part")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("other"))) & _sizes_fit("n", "other_n") & ((most + of) * (total - differ) >= 2 * most * total)
     rest = outside.join(placed, "g").where(across).select(*pair("node", "other")).distinct().join(beside, ["a", "b"], "left_anti")
     more = cut(similar(rest, distinct, docs))
     if not more.isEmpty():
