@@ -32,8 +32,10 @@ class _Known:
         return self.arrivals.get(key, arrival)
 
 
-def _crowded(log: DataFrame, cap: int) -> DataFrame | None:
-    """The topics with more than `cap` distinct keys, or None. Topics with no more rows than that are not looked into."""
+def _crowded(log: DataFrame, cap: int | None, size: int | None = None) -> DataFrame | None:
+    """The topics with more than `cap` distinct keys, or None. Topics with no more rows than that are not looked into, nor a log of `size` rows, if that is known."""
+    if cap is None or (size is not None and size <= cap):
+        return None
     keyed = _keyed(log)
     large = keyed.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("topic")
     if large.isEmpty():
@@ -48,14 +50,14 @@ def _firsts(log: DataFrame, cap: int) -> DataFrame:
     return fold(_keyed(log).select(*KEY, "arrival"), "topic", "arrival", lambda: _Known(cap), step, "topic string, arrival long, first_arrival long")
 
 
-def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int = DEDUP_CAPACITY) -> DataFrame:
+def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int | None = DEDUP_CAPACITY) -> DataFrame:
     """The produce commands that append a message, with msg_offset: the first of each (topic, producer_id, seq), and all without a producer.
 
-    A topic remembers its last `cap` accepted keys. While it has no more distinct ones, that is a minimum, combined before the shuffle; topics
+    A topic remembers its last `cap` accepted keys (None: all). While it has no more distinct ones, that is a minimum, combined before the shuffle; topics
     with more, found by counting, go through their commands in order, one task each. A log of no more than `cap` rows has none.
     """
     size = log.count()
-    crowded = _crowded(log, cap) if size > cap else None
+    crowded = _crowded(log, cap, size)
     calm = log if crowded is None else log.join(crowded, "topic", "left_anti")
     first = _keyed(calm).groupBy(*KEY).agg(F.min("arrival").alias("arrival"))
     kept = calm.join(first, [*KEY, "arrival"], "left_semi")
@@ -70,7 +72,7 @@ def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int = DEDUP_
 def offsets(log: DataFrame, cap: int = DEDUP_CAPACITY, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Every command with the offset that it is answered with; a duplicate gets the original's."""
     size = log.count()
-    crowded = _crowded(log, cap) if size > cap else None
+    crowded = _crowded(log, cap, size)
     if crowded is None:  # the first arrivals alone are numbered; no command is dealt out for that
         first = log.groupBy(*KEY, F.when(F.coalesce("producer_id", F.lit("")) == "", F.col("arrival")).alias("__own")).agg(F.min("arrival").alias("first_arrival"))
         known = number(first, ["topic"], "first_arrival", "msg_offset", rows_per_bucket, size).select("topic", "msg_offset", "first_arrival", *(F.col(c).alias(f"__{c}") for c in KEY[1:]), "__own")
