@@ -90,7 +90,7 @@ def offsets(log: DataFrame, cap: int = DEDUP_CAPACITY, rows_per_bucket: int = 1_
     return keyed.unionByName(free.select(*keyed.columns)).withColumn("duplicate", F.col("arrival") != F.col("first_arrival")).drop("first_arrival")
 
 
-def attempts(log: DataFrame, cap: int = DEDUP_CAPACITY) -> DataFrame:
+def attempts(log: DataFrame, cap: int | None = DEDUP_CAPACITY) -> DataFrame:
     """topic, attempts, accepted, duplicates."""
     per_key = log.groupBy(*KEY).agg(F.count("*").alias("n"))
     new = F.when(F.coalesce("producer_id", F.lit("")) == "", F.col("n")).otherwise(1)
