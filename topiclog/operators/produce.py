@@ -69,7 +69,7 @@ def accepted(log: DataFrame, rows_per_bucket: int = 1_000_000, cap: int | None =
     return number(kept, ["topic"], "arrival", "msg_offset", rows_per_bucket, size)
 
 
-def offsets(log: DataFrame, cap: int = DEDUP_CAPACITY, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def offsets(log: DataFrame, cap: int | None = DEDUP_CAPACITY, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Every command with the offset that it is answered with; a duplicate gets the original's."""
     size = log.count()
     crowded = _crowded(log, cap, size)
@@ -104,10 +104,10 @@ def attempts(log: DataFrame, cap: int | None = DEDUP_CAPACITY) -> DataFrame:
     return found.withColumn("duplicates", F.col("attempts") - F.col("accepted"))
 
 
-def batch_replies(log: DataFrame, items: int = BATCH_ITEMS) -> DataFrame:
+def batch_replies(log: DataFrame, items: int = BATCH_ITEMS, cap: int | None = DEDUP_CAPACITY) -> DataFrame:
     """batch_id, item, topic, arrival, msg_offset: batches of `items` commands over all topics, written as one, and the reply to each command by its place."""
     placed = number(log.select("topic", "arrival"), [], "arrival", "__n")
-    answered = offsets(log).select("topic", "arrival", "msg_offset")
+    answered = offsets(log, cap).select("topic", "arrival", "msg_offset")
     return placed.join(answered, ["topic", "arrival"]).select(F.floor(F.col("__n") / items).cast("long").alias("batch_id"), (F.col("__n") % items).cast("int").alias("item"), "topic", "arrival", "msg_offset")
 
 
