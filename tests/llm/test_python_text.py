@@ -43,6 +43,20 @@ def test_byte_bpe_of_odd_strings(odd_rows):
         assert bpe.encode(text) == want, repr(text[:60])
 
 
+def test_marks_behind_known_words():
+    bpe = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ["x foo) foo). foo 12 12. ... , x, foo, foo,, é é! foo.bar foo.bar. ' '. it's it's?", "x a) a). a a. x", *odd_strings(500, 3)]:
+        assert bpe.encode(text) == np.array(bpe.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_recent_computes_what_comes_often_once():
+    calls = []
+    memo = packing.Recent(lambda k: calls.append(k) or len(k), entries=4)
+    for k in ("a", "bb", "a", "ccc", "a", "dddd", "a", "eeeee", "a"):
+        assert memo[k] == len(k) and len(memo) + len(memo.before) <= 4
+    assert calls == ["a", "bb", "ccc", "dddd", "eeeee"]
+
+
 @pytest.mark.parametrize(("context", "held"), [(1024, 2_000_000), (64, 500), (8, 1)])
 def test_packing_round_trip(spark, clashing, odd_rows, context, held):
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -32,11 +32,32 @@ TYPES = pa.schema([(n, pa.int64()) for n in NAMES])
 SPECIAL = "<|endoftext|>"
 #: A word of Latin letters, perhaps with marks behind it: two pre-tokens at most.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)")
+MARKS = ".,;:!?*#$%&|"
+LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 #: The character that byte-level vocabularies write for each byte: printable Latin-1 bytes as they are, the others from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
 
 
+class Recent(Memo):
+    """A memo of two halves: a full half stays readable until the next one is full, so keys that come often are not computed again."""
+
+    def __init__(self, fn: Callable, entries: int = 400_000):
+        super().__init__(fn, entries // 2)
+        self.before: dict = {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ByteBpe:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's encode().
 
@@ -51,7 +72,9 @@ class ByteBpe:
 
         self.whole = Tokenizer.from_file(path)
         split, merge = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
-        pieces = Memo(lambda s: b"".join(t.id.to_bytes(4, "little") for t in merge(s)))
+        coded = [i.to_bytes(4, "little") for i in range(1 + max(self.whole.get_vocab(with_added_tokens=True).values()))]
+        pieces = Memo(lambda s: b"".join([coded[t.id] for t in merge(s)]))
+        space = chr(BYTE_CHARS[0x20])
 
         def part(s: str) -> bytes:
             if plain := PLAIN.fullmatch(s):
@@ -60,8 +83,16 @@ class ByteBpe:
                 return word + pieces[marks] if marks else word
             return b"".join([pieces[p] for p, _ in split(s)])
 
-        self.bare = Memo(part)
-        self.spaced = Memo(lambda s: part(" " + s))
+        def behind_space(s: str) -> bytes:
+            word = s.rstrip(MARKS)
+            if word in known and LETTER.fullmatch(word[-1:]):  # marks behind a letter are a pre-token of their own
+                return known[word] + pieces[s[len(word) :]]
+            if s.isascii() and s.isalpha():
+                return b"".join([coded[t.id] for t in merge(space + s)])
+            return part(" " + s)
+
+        self.bare = Recent(part)
+        self.spaced = known = Recent(behind_space)
         self.feed = part("\n")
 
     def encode(self, text: str) -> bytes:
