@@ -88,3 +88,21 @@ def test_connected(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100, 200: 100, 301: 300}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_take_one_task(spark):
+    """Few links and star steps give the same roots, and few links run a handful of stages at most, whatever the component's diameter."""
+    from topiclog.llm.components import connected
+
+    pairs = [(k, k + 1) for k in range(-300, 300)] + [(1000, 2000), (3000, 2000), (5, 5), (None, 7), (2**62, -(2**62)), (2000, 1000)]
+    for kind in ("long", "int"):
+        links = spark.createDataFrame([p for p in pairs if kind == "long" or abs(p[0] or 0) < 2**31], f"a {kind}, b {kind}")
+        spark.sparkContext.setJobGroup(f"few {kind}", "")
+        found = connected(links)
+        rows = sorted(map(tuple, found.collect()))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {kind}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        steps = connected(links, few=0)
+        assert found.schema == steps.schema and rows == sorted(map(tuple, steps.collect()))
+        assert (300, -300) in rows and (3000, 1000) in rows and len(rows) == 602 + (kind == "long") and len(jobs) <= 8
+    assert connected(links.limit(0)).count() == 0

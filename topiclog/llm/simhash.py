@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topiclog.llm.common import slices
-from topiclog.llm.components import connected, cut, spread_join
+from topiclog.llm.components import Forest, connected, cut, spread_join
 
 BUDGET = 3
 #: Bits of a block in each round, for BUDGET + 1 blocks that don't overlap: after the last, 21 bits are free, so no run can exceed 2 ** 21.
@@ -56,22 +56,6 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-class Forest:
-    """Union by smallest index over arrays of pairs."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            i, j = self.root[i], self.root[j]
-            apart = i != j
-            i, j = np.minimum(i[apart], j[apart]), np.maximum(i[apart], j[apart])
-            np.minimum.at(self.root, j, i)
-            while not np.array_equal(up := self.root[self.root], self.root):
-                self.root = up
-
-
 def trie_join(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int = BUDGET, leaf: int = 64, width: int = 1 << 18) -> np.ndarray:
     """For each key the index of the smallest key that it is linked with inside its run.
 
