@@ -50,22 +50,22 @@ class Memo(dict):
         return value
 
 
-#: Bytes of text that one slice of a batch holds at most (a longer text is a slice of its own).
+#: Bytes of text that the operators take at a time (a longer text is a slice of its own).
 SLICE = 2 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that no slice holds more than SLICE bytes of text, unless one text alone does."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that no slice holds more than `most` bytes of text, unless one text alone does."""
     import pyarrow.compute as pc
 
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        if size.sum() <= SLICE:
+        if size.sum() <= most:
             yield batch
             continue
         start = total = 0
         for i, n in enumerate(size):
-            if i > start and total + n > SLICE:
+            if i > start and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += int(n)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topiclog.llm.common import slices
+from topiclog.llm.common import SLICE, slices
 from topiclog.llm.components import connected, cut, spread_join
 from topiclog.llm.simhash import fingerprint, near_links
 
@@ -84,7 +84,7 @@ def frequent_shingles(docs: DataFrame, one_in: int = 16, least: int = 8, most: i
     """Shingles of at least `least` of the texts in a sample, the `most` most frequent; they are for the order alone, no result depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             own = [shingles(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["g"]) if own else pa.RecordBatch.from_pydict({"g": pa.array([], pa.int64())})
 
@@ -98,7 +98,7 @@ def _prints(docs: DataFrame) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts = batch.column("text").to_pylist()
             own = [shingles(x) for x in texts]
             node = np.array([_node(x) for x in own], np.uint64).view(np.int64)

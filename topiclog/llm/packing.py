@@ -21,7 +21,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from topiclog.llm.common import Memo, slices
+from topiclog.llm.common import SLICE, Memo, slices
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
@@ -249,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: Callable[[], str] | str, context: int = 102
             for k in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[k : k + 20_000], strict=True)], schema=TYPES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 packer.add(doc, (encode(text) if text else b"") + end)
             yield from rows()

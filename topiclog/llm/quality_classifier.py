@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiclog.llm.common import slices
+from topiclog.llm.common import SLICE, slices
 
 #: Class of each byte of UTF-8: 0 lower case, 1 upper case, 2 digit, 3 white space, 4 sentence marks, 5 symbols, 6 control, 7 beyond ASCII.
 BYTE_CLASS = np.full(256, 7)
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             x = matrix(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), batch.column("y")], names=["x", "y"])
 
@@ -201,7 +201,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(trees)  # some thousand nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             x = matrix(batch.column("text").to_pylist())
             p = np.concatenate([model.value.predict(x[k : k + 1024]) for k in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topiclog.llm.common import slices
+from topiclog.llm.common import SLICE, slices
 from topiclog.llm.components import Forest, connected, cut, spread_join
 
 BUDGET = 3
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             fp = np.array([fingerprint(x, size) for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from topiclog.llm.common import Memo, slices
+from topiclog.llm.common import SLICE, Memo, slices
 
 SPACE_MARK = "▁"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, model: Callable[[], str] | str, limit: int = 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_counter(model if isinstance(model, str) else model()).count
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             text = batch.column("text")
             n = pa.array([count(x) if x else 0 for x in text.to_pylist()], pa.int64())
             size = pc.cast(pc.fill_null(pc.binary_length(text), 0), pa.int64())
